@@ -1,25 +1,16 @@
-"""What the operators share: the shared folder, written tables, the memoised tokenizer."""
+"""What the operators share: the shared folder, written tables, plain columns."""
 
 from __future__ import annotations
 
 import os
-import re
-import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Distinct chunks that a worker's memo keeps; it is emptied beyond that, so its memory is bounded.
-MEMO_ENTRIES = 800_000
-#: Bytes of text that are encoded together.
-BLOCK_BYTES = 16 << 20
 BPE_50K = "byte_bpe_50k.json"
 
 
@@ -91,107 +82,3 @@ def plain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def blocks(lengths: Iterable[int], limit: int = BLOCK_BYTES) -> Iterator[slice]:
-    """Runs of items of about ``limit`` together; a longer item makes a run of its own."""
-    start = size = k = 0
-    for k, n in enumerate(lengths, 1):
-        size += n
-        if size >= limit:
-            yield slice(start, k)
-            start, size = k, 0
-    if k > start:
-        yield slice(start, k)
-
-
-_SPACE_THEN_SPACE = re.compile(r" \s")
-_CUT = re.compile(r" (?=\S)")
-
-
-def chunks(text: str) -> list[str]:
-    """Cut before each space that a non-space follows: a byte-level pre-tokenizer has a boundary there, whatever stands before.
-
-    The first chunk is as it stands in the text, all others have lost their leading space.
-    """
-    return _CUT.split(text) if _SPACE_THEN_SPACE.search(text) else text.split(" ")
-
-
-class ChunkMemo:
-    """Token ids of texts, chunk by chunk, from a bounded memo of chunks met before.
-
-    ``encode`` gets distinct texts without special tokens and gives their ids; ``special`` maps
-    the strings of special tokens to their ids.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], special: dict[str, int], entries: int = MEMO_ENTRIES):
-        self.encode, self.special, self.entries = encode, special, entries
-        self.rest: dict[str, bytes] = {}  # of chunks that follow a space
-        self.first: dict[str, bytes] = {}
-        self.pattern = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-
-    def _learn(self, memo: dict[str, bytes], wanted: Iterable[str], lead: str) -> None:
-        new = [c for c in wanted if c not in memo]
-        if len(memo) + len(new) > self.entries and memo:
-            memo.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 100_000):
-            part = new[at : at + 100_000]
-            for c, ids in zip(part, self.encode([lead + c for c in part])):
-                memo[c] = ids.astype("<u4").tobytes()
-
-    def ids(self, batch: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for run in blocks(map(len, batch)):
-            parts: list[list[list[str]]] = []  # of each text, the chunks of its stretches between special tokens
-            marks: list[list[str]] = []
-            for t in batch[run]:
-                if self.pattern is not None and any(s in t for s in self.special):
-                    marks.append(self.pattern.findall(t))
-                    parts.append([chunks(x) for x in self.pattern.split(t)])
-                else:
-                    marks.append([])
-                    parts.append([chunks(t)])
-            rest: set[str] = set()
-            first: set[str] = set()
-            for stretches in parts:
-                for c in stretches:
-                    first.add(c[0])
-                    rest.update(c[1:])
-            self._learn(self.first, first, "")
-            self._learn(self.rest, rest, " ")
-            head, tail = self.first, self.rest
-            for stretches, found in zip(parts, marks):
-                one = [head[stretches[0][0]]]
-                one += [tail[c] for c in stretches[0][1:]]
-                for mark, c in zip(found, stretches[1:]):
-                    one.append(self.special[mark].to_bytes(4, "little"))
-                    one.append(head[c[0]])
-                    one += [tail[x] for x in c[1:]]
-                out.append(b"".join(one))
-        return out
-
-
-_MEMOS: dict[str, ChunkMemo] = {}
-
-
-def library_memo(path: str) -> ChunkMemo:
-    """The tokenizers library behind a memo; one for each worker and tokenizer file."""
-    if path not in _MEMOS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-
-        def encode(new: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, "<u4") for e in t.encode_batch_fast(new, add_special_tokens=False)]
-
-        _MEMOS[path] = ChunkMemo(encode, {a.content: i for i, a in t.get_added_tokens_decoder().items()})
-    return _MEMOS[path]
-
-
-def worker_only() -> bool:
-    return "pyspark.worker" in sys.modules or "pyspark.daemon" in sys.modules

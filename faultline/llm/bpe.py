@@ -20,9 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import _shared as S
+from . import chunking as C
 
 NONE = np.int32(2**31 - 1)
 SCHEMA = "doc_id bigint, ids array<int>, decoded string"
@@ -92,25 +94,22 @@ class PairTable:
 
 
 class PairIndex:
-    """Positions of each pair in the words of one partition block."""
+    """Positions of each pair in the words of one partition block. flat: bytes of all words, size: how many each word has."""
 
-    def __init__(self, table: PairTable, words: list[bytes]):
-        self.table = table
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, table: PairTable, flat: np.ndarray, size: np.ndarray):
+        self.table, self.size = table, size
         self.starts = np.cumsum(size) - size
-        self.size = size
         n = len(flat)
         self.sym = table.byte_id[flat]
-        self.next = np.arange(1, n + 1, dtype=np.int64)
-        self.prev = np.arange(-1, n - 1, dtype=np.int64)
-        full = size > 0
-        self.next[(self.starts + size - 1)[full]] = -1
-        self.prev[self.starts[full]] = -1
+        self.next = np.arange(1, n + 1, dtype=np.int32)
+        self.prev = np.arange(-1, n - 1, dtype=np.int32)
+        self.next[self.starts + size - 1] = -1
+        self.prev[self.starts] = -1
         self.lists: dict[int, list[np.ndarray]] = {}
         self.active: list[int] = []
-        at = np.flatnonzero(self.next >= 0)
-        self._file(at, table.of_bytes[flat[at], flat[at + 1]] if n else np.zeros(0, np.int32))
+        at = np.flatnonzero(self.next >= 0).astype(np.int32)
+        if len(at):
+            self._file(at, table.of_bytes[flat[at], flat[at + 1]])
 
     def _file(self, at: np.ndarray, rank: np.ndarray) -> None:
         """Put positions into the lists of their ranks."""
@@ -154,21 +153,21 @@ class PairIndex:
             before = prv[at]
             near = np.concatenate((at, before[before >= 0]))
             if len(near) > len(at) and len(at) > 1:
-                near = np.unique(near)
+                near.sort()
+                near = near[np.r_[True, near[1:] != near[:-1]]]
             near = near[nxt[near] >= 0]
             if len(near):
                 self._file(near, t.rank(sym[near], sym[nxt[near]]))
 
-    def ids(self) -> list[np.ndarray]:
-        """Of each word, its ids."""
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each word has."""
         live = self.sym >= 0
-        ends = np.cumsum(live)
-        counts = np.zeros(len(self.size), np.int64)
-        full = self.size > 0
-        last = (self.starts + self.size - 1)[full]
-        upto = ends[last]
-        counts[full] = np.diff(np.r_[0, upto])
-        return np.split(self.sym[live], np.cumsum(counts)[:-1]) if len(counts) else []
+        return self.sym[live].astype("<u4"), np.add.reduceat(live, self.starts, dtype=np.int64) if len(self.size) else np.zeros(0, np.int64)
+
+
+#: Bytes of words that need no pattern: letters of ASCII, and in UTF-8 those of U+00C0 to U+00FF.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True
 
 
 class Codec:
@@ -179,29 +178,53 @@ class Codec:
 
         self.table = PairTable(path)
         self.cut = ByteLevel(add_prefix_space=False, use_regex=True)
-        self.memo = S.ChunkMemo(self.encode_new, self.table.special)
-        self.decimal = None
-
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens. A run of common letters, with a leading space or not, is one by the pattern; the library cuts all else."""
-        body = text[1:] if text[:1] == " " else text
-        if body.isalpha() and max(body) < "ɐ":
-            return [text]
-        if body[-1:] in (".", ",") and body[:-1].isalpha() and max(body) < "ɐ":
-            return [text[:-1], text[-1]]
-        return [text[s:e] for _, (s, e) in self.cut.pre_tokenize_str(text)]
-
-    def encode_new(self, new: list[str]) -> list[np.ndarray]:
-        numbers: dict[str, int] = {}
-        of = [[numbers.setdefault(w, len(numbers)) for w in self.words(c)] for c in new]
-        index = PairIndex(self.table, [w.encode() for w in numbers])
+        self.encode = C.TextEncoder(self.encode_chunks, self.table.special)
+
+    def words(self, text: str) -> list[bytes]:
+        """Pre-tokens, as the library's pattern cuts them."""
+        return [text[s:e].encode() for _, (s, e) in self.cut.pre_tokenize_str(text)]
+
+    def encode_chunks(self, chunks: pa.StringArray, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks. One of letters alone is one pre-token, and with a full stop or comma behind it two; the library cuts all others."""
+        n = len(chunks)
+        offsets, data = C.bytes_of(chunks)
+        starts, size = offsets[:-1], np.diff(offsets)
+        before = np.r_[np.uint8(0), data[:-1]] if len(data) else data
+        good = _LETTER[data] | (before == 0xC3) & (data != 0x97) & (data != 0xB7)
+        stop = np.zeros(n, bool)
+        full = size > 0
+        stop[full] = np.isin(data[(starts + size - 1)[full]], (44, 46))
+        bad = np.r_[0, np.cumsum(~good)]
+        simple = (bad[starts + size] - bad[starts] == stop) & (size > stop)
+        flat, sizes, per = self._simple(data, starts[simple], size[simple], stop[simple], lead.encode())
+        others = [self.words(lead + chunks[k].as_py()) for k in np.flatnonzero(~simple).tolist()]
+        words = [w for x in others for w in x]
+        index = PairIndex(self.table, np.concatenate((flat, np.frombuffer(b"".join(words), np.uint8))), np.concatenate((sizes, np.fromiter(map(len, words), np.int64, len(words)))))
         index.run()
-        ids = index.ids()
-        empty = np.zeros(0, np.int32)
-        return [ids[k[0]] if len(k) == 1 else np.concatenate([ids[x] for x in k]) if k else empty for k in of]
-
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.memo.ids(batch)]
+        ids, of_word = index.ids()
+        per = np.concatenate((per, np.fromiter(map(len, others), np.int64, len(others))))
+        ends = np.r_[0, np.cumsum(of_word)]
+        last = np.cumsum(per)
+        order = np.concatenate((np.flatnonzero(simple), np.flatnonzero(~simple)))
+        first, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        first[order], counts[order] = ends[last - per], ends[last] - ends[last - per]
+        return C.gather(ids, first, counts), counts
+
+    @staticmethod
+    def _simple(data: np.ndarray, starts: np.ndarray, size: np.ndarray, stop: np.ndarray, lead: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, word sizes and words of each simple chunk, with the lead in front."""
+        k = len(lead)
+        whole = size + k
+        at = np.cumsum(whole) - whole
+        flat = np.full(int(whole.sum()), lead[0] if k else 0, np.uint8)
+        body = np.ones(len(flat), bool)
+        if k:
+            body[at] = False
+        flat[body] = C.gather(data, starts, size)
+        per = 1 + stop.astype(np.int64)
+        sizes = np.ones(int(per.sum()), np.int64)
+        sizes[np.cumsum(per) - per] = whole - stop
+        return flat, sizes, per
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         of = self.table.bytes
@@ -232,9 +255,9 @@ def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            t = S.texts(batch)
-            for part in S.blocks(map(len, t)):
-                ids = c.encode(t[part])
+            t = batch.column(1)
+            for part in C.runs(pc.fill_null(pc.binary_length(t), 0).to_pylist()):
+                ids = c.encode(t[part.start : part.stop])
                 yield pa.record_batch([batch.column(0)[part.start : part.stop], as_lists(ids), pa.array(c.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)

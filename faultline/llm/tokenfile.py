@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _shared as S
+from . import chunking as C
 
 MAGIC = b"FLTOKEN1"
 BLOCK_IDS = 4096
@@ -129,7 +130,7 @@ def put(uri: str, data: bytes) -> None:
     system.move(half, path)
 
 
-def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 32 << 20) -> DataFrame:
+def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 8 << 20) -> DataFrame:
     """Write df's documents as shards under ``to`` and give a row for each shard: first_id, path, documents, ids.
 
     first_id is the count of ids in all shards before it. A partition with more than ``shard_ids`` ids makes several shards.
@@ -137,13 +138,13 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
     spark = df.sparkSession
     S.ship(spark)
     path, bits = path or S.tokenizer_path(), width(vocabulary)
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.uint32(END_ID)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        memo, n, held = S.library_memo(path), 0, 0
+        encode, n, held = C.library_encoder(path), 0, 0
         names: list[int | None] = []
         parts: list[np.ndarray] = []
 
@@ -153,10 +154,10 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
             return pa.record_batch([pa.array([task.partitionId() * 10_000 + n], pa.int64()), pa.array([name]), pa.array([len(parts)], pa.int64()), pa.array([held], pa.int64())], ["shard", "path", "documents", "ids"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), memo.ids(S.texts(batch))):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 names.append(doc)
-                parts.append(np.frombuffer(ids + end, "<u4"))
-                held += len(parts[-1])
+                parts.append(np.append(ids, end))
+                held += len(ids) + 1
                 if held >= shard_ids:
                     yield flush()
                     names, parts, n, held = [], [], n + 1, 0
@@ -165,7 +166,7 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
 
     rows = S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = S.stash(rows.mapInArrow(run, "shard bigint, path string, documents bigint, ids bigint"), "token-manifest")
-    # a row for each shard of 32 million ids: small beside the data, and counts alone go through one task
+    # a row for each shard of millions of ids: small beside the data, and counts alone go through one task
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.select(F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first_id"), "path", "documents", "ids")
 
