@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license, quality, tokenfile
+from . import bpe, exactdup, license, quality, sharding, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -25,17 +25,54 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_refused")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append, compact and commit; each document as it is read from the committed version."""
+    stored = sharding.shard(table(spark, sf_dir))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return stored.select("row.doc_id", "arrival", "shard", "tier", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir)).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = exactdup.decide(table(spark, sf_dir))
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    scores = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op5_license_scan, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op4_sharding, op5_license_scan, op7_exact_dedup, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sharding": SHARDING_SQL, "op7_exact_dedup": EXACT_SQL}
+
+
+SHARDING_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text, coalesce(cast(floor(doc_id / {sharding.ARRIVAL_IDS}.0) as bigint), -1) as arrival from documents),
+a as (select arrival, sum(strlen(text))::bigint as bytes from d group by arrival),
+t as (select *, {' + '.join(f'(bytes >= {sharding.BASE_BYTES * sharding.FANOUT**k})::int' for k in range(sharding.TIERS))} as tier from a),
+r as (select *, case when bytes < {sharding.TARGET_BYTES} then coalesce(sum(case when bytes < {sharding.TARGET_BYTES} then bytes end) over (partition by tier order by arrival rows between unbounded preceding and 1 preceding), 0)::bigint // {sharding.TARGET_BYTES} end as run from t),
+p as (select *, case when run is not null and count(*) over (partition by tier, run) >= {sharding.MIN_MERGE} then 't' || tier || '-r' || run else 'a' || arrival end as shard from r),
+s as (select shard, sum(bytes)::bigint as bytes from p group by shard)
+select d.doc_id, d.arrival, p.shard, ({' + '.join(f'(s.bytes >= {sharding.BASE_BYTES * sharding.FANOUT**k})::int' for k in range(sharding.TIERS))})::int as tier, strlen(d.text)::bigint as n_bytes, sha256(d.text) as text_sha256
+from d join p using (arrival) join s using (shard)
+"""
+
+EXACT_SQL = r"""
+with d as (select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents),
+r as (select *, row_number() over w as place, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size
+  from d window w as (partition by text_sha256 order by points desc, doc_id nulls last))
+select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from r
+"""
