@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together; bounds a block's memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Distinct chunks that a worker's memo keeps.
 MEMO_ENTRIES = 3_000_000
 #: A space, then any white space.
@@ -128,6 +128,7 @@ class TextEncoder:
         out: list[np.ndarray] = []
         for run in runs(size.tolist()):
             out += self._block(texts[run.start : run.stop])
+            pa.default_memory_pool().release_unused()
         return out
 
     def _block(self, texts: pa.Array) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, license, quality, sharding, tokenfile, toxicity
+from . import bpe, exactdup, license, neardup, quality, sharding, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_refused")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir), words=2)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append, compact and commit; each document as it is read from the committed version."""
     stored = sharding.shard(table(spark, sf_dir))
@@ -52,7 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op4_sharding, op5_license_scan, op7_exact_dedup, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_sharding, op5_license_scan, op7_exact_dedup, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
