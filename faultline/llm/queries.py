@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, license, neardup, quality, sharding, tokenfile, toxicity
+from . import bpe, exactdup, license, neardup, packing, quality, sharding, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -40,6 +40,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir)).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exactdup.decide(table(spark, sf_dir))
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -56,7 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_sharding, op5_license_scan, op7_exact_dedup, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_sharding, op5_license_scan, op6_packing, op7_exact_dedup, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
