@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, license, neardup, packing, quality, sharding, tokenfile, toxicity
+from . import bpe, exactdup, license, neardup, packing, quality, secrets, sharding, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -50,6 +50,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, a digest of their spans, and all spans."""
+    found = secrets.scan(table(spark, sf_dir))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "cnn")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
     scores = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +70,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_sharding, op5_license_scan, op6_packing, op7_exact_dedup, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_sharding, op5_license_scan, op6_packing, op7_exact_dedup, op8_secret_scan, op9_toxicity, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

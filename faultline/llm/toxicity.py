@@ -180,3 +180,17 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([batch.column(0), pa.array(model.scores([of(x) for x in t]), pa.float64())], ["doc_id", "score"])
 
     return S.plain(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+
+
+def reject(docs: DataFrame, model: Machine, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs, with all columns, without those whose score reaches ``limit``. No join and no shuffle."""
+    S.ship(docs.sparkSession)
+    S.need(docs, text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Terms(model.kept)
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores([of(t or "") for t in batch.column(at).to_pylist()]) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
