@@ -16,10 +16,10 @@ ABBREVIATED = {"high": "H", "medium": "M", "low": "L"}
 ACTION_WORDS = [("docs", ("schema", "doc", "document", "update type")), ("consumers", ("consumer", "downstream", "caller", "client", "update")), ("tests", ("test", "verify", "assert", "check"))]
 
 
-def overall(impacts: DataFrame) -> DataFrame:
-    """One row: overall, High, Medium or Low."""
-    a = impacts.agg(F.count("*").alias("n"), F.bool_or((F.col("impact_risk") == "breaking") & (F.col("confidence") == "high")).alias("sure"), F.bool_and(F.col("confidence") == "low").alias("weak"))
-    return a.select(F.when(F.col("n") == 0, "Low").when(F.col("sure"), "High").when(F.col("weak"), "Low").otherwise("Medium").alias("overall"))
+def overall(impacts: DataFrame, *by: str) -> DataFrame:
+    """overall (High, Medium or Low) of all, or of each group."""
+    a = impacts.groupBy(*by).agg(F.count("*").alias("n"), F.bool_or((F.col("impact_risk") == "breaking") & (F.col("confidence") == "high")).alias("sure"), F.bool_and(F.col("confidence") == "low").alias("weak"))
+    return a.select(*by, F.when(F.col("n") == 0, "Low").when(F.col("sure"), "High").when(F.col("weak"), "Low").otherwise("Medium").alias("overall"))
 
 
 def top_risks(impacts: DataFrame, n: int = 3) -> DataFrame:
