@@ -97,9 +97,9 @@ class Machine:
 
 def select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Buckets by chi squared of presence against the label."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    has = np.bincount(flat, minlength=BUCKETS).astype(float)
-    hit = np.bincount(flat, np.repeat(y, [len(r) for r in rows]), BUCKETS)
+    count = lambda part: np.bincount(np.concatenate(part), minlength=BUCKETS).astype(float) if part else np.zeros(BUCKETS)
+    hit = count([r for r, k in zip(rows, y) if k])
+    has = hit + count([r for r, k in zip(rows, y) if not k])
     n, pos = len(y), y.sum()
     expected = has * pos / n
     chi = (hit - expected) ** 2 * n / np.maximum(expected * (n - has) * (n - pos) / n, 1e-9)
