@@ -87,3 +87,8 @@ def route_of(text: Column) -> Column:
 def evidence_text(e: Column) -> Column:
     """One evidence as text."""
     return F.coalesce(missing(F.concat_ws(" — ", e["edge_type"], missing(e["snippet"]), e["access_pattern"])), e["tool"])
+
+
+def chunk_count(length: Column, size: int, overlap: int) -> Column:
+    """How many chunks of ``size`` tokens with an overlap a text of that length gives."""
+    return F.greatest(F.lit(1), F.ceil((length - overlap) / (size - overlap)))

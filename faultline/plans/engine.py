@@ -62,10 +62,10 @@ def validated(tool: str, inputs: dict) -> dict:
 class Engine:
     """Analyses of one repository given as files(path, content) and, for couplings, commits and changes."""
 
-    def __init__(self, spark: SparkSession, tree: DataFrame, commits: DataFrame | None = None, changes: DataFrame | None = None, vectors: DataFrame | None = None, embed=None, configured_tests: list[str] | None = None, cache: ResultCache | None = None, root: str = "."):
+    def __init__(self, spark: SparkSession, tree: DataFrame, commits: DataFrame | None = None, changes: DataFrame | None = None, vectors: DataFrame | None = None, embed=None, configured_tests: list[str] | None = None, cache: ResultCache | None = None, root: str = ".", head: tuple[str | None, bool] = (None, True)):
         importable(spark)
         self.spark, self.tree, self.commits, self.changes = spark, tree, commits, changes
-        self.vectors, self.embed, self.configured_tests, self.cache, self.root = vectors, embed, configured_tests, cache, root
+        self.vectors, self.embed, self.configured_tests, self.cache, self.root, self.head = vectors, embed, configured_tests, cache, root, head
 
     @classmethod
     def of_folder(cls, spark: SparkSession, root: str, window_commits: int = 500, **more) -> Engine:
@@ -73,7 +73,7 @@ class Engine:
         commits = changes = None
         if intents.has_history(root):
             commits, changes = historylog.parse(historylog.lines_of(spark, historylog.log_text(root, window_commits)))
-        return cls(spark, files.scan(spark, root), commits, changes, configured_tests=files.configured_tests(root), root=root, **more)
+        return cls(spark, files.scan(spark, root), commits, changes, configured_tests=files.configured_tests(root), root=root, head=historylog.head_of(root), **more)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -82,7 +82,7 @@ class Engine:
 
     @cached_property
     def fingerprint(self) -> str:
-        return files.fingerprint(self.tree).first()["fingerprint_hash"]
+        return files.fingerprint(self.tree, *self.head).first()["fingerprint_hash"]
 
     def structure(self, target_files: list[str] | None = None, **options) -> dict[str, DataFrame]:
         o = options_of("structure", options)

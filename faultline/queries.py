@@ -137,10 +137,10 @@ def op_j01_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_SCOPES}, b as (select s.id, arg_min(c.id, (c.end_line - c.line, -c.line, -c.col, c.id)) as outer_id from s join s c on c.file = s.file and c.id <> s.id and c.line <= s.line and c.end_line >= s.end_line group by s.id)
-select s.id, coalesce(b.outer_id, m.id) as parent from s left join b using (id) join m using (file) union all select id, null from m""")
+select s.id, coalesce(b.outer_id, m.id) as parent from s left join b using (id) join m using (file)""")
 def op_j07_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest interval around each interval."""
-    return structure.scope_parents(structure.containers(_scopes(spark, sf_dir))).select("id", "parent")
+    return structure.scope_parents(structure.containers(_scopes(spark, sf_dir))).filter("parent is not null").select("id", "parent")
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------------
@@ -378,18 +378,18 @@ def op_f18_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.label(d * 10, schemas.CONFIDENCE_BOUNDS).alias("confidence"), F.format_string("weight=%.2f, support=%d", d, F.col("l_linenumber")).alias("reason"))
 
 
-@query("""select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as header from conversations""")
+@query("""select conv_id, turn, coalesce(last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row), -1) as header from conversations""")
 def op_w05_running_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last header carried on."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("header"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w), F.lit(-1)).alias("header"))
 
 
-@query("""select user_id, event_id, sum(case when event_type in ('view', 'click') then 1 else 0 end) over w as old_line, sum(case when event_type in ('view', 'purchase') then 1 else 0 end) over w as new_line from events window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)""")
+@query("""select user_id, event_id, coalesce(sum(case when event_type in ('view', 'click') then 1 else 0 end) over w, 0)::bigint as old_line, coalesce(sum(case when event_type in ('view', 'purchase') then 1 else 0 end) over w, 0)::bigint as new_line from events window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)""")
 def op_w06_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of kinds of lines."""
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    n = lambda *k: F.sum(F.col("event_type").isin(*k).cast("int")).over(w)
+    n = lambda *k: F.coalesce(F.sum(F.col("event_type").isin(*k).cast("int")).over(w), F.lit(0))
     return table(spark, sf_dir, "events").select("user_id", "event_id", n("view", "click").alias("old_line"), n("view", "purchase").alias("new_line"))
 
 

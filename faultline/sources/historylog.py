@@ -16,6 +16,19 @@ def log_text(root: str, commits: int, exclude_merges: bool = True, seconds: int
     return subprocess.run(command, capture_output=True, text=True, timeout=seconds, check=True).stdout
 
 
+def head_of(root: str, seconds: int = 10) -> tuple[str | None, bool]:
+    """HEAD and whether the tree has changes; a tree of unknown state counts as changed."""
+    git = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, timeout=seconds, check=True).stdout.strip()
+    try:
+        head = git("rev-parse", "HEAD")
+    except (OSError, subprocess.SubprocessError):
+        return None, True
+    try:
+        return head, bool(git("status", "--porcelain"))
+    except (OSError, subprocess.SubprocessError):
+        return head, True
+
+
 def lines_of(spark: SparkSession, text: str) -> DataFrame:
     """place and line of a text."""
     return spark.createDataFrame([(text,)], "text string").select(F.posexplode(F.split("text", "\n")).alias("place", "line"))
