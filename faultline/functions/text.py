@@ -15,8 +15,7 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """words of two characters or more that are no stop words."""
-    stop = F.array(*map(F.lit, schemas.STOPWORDS))
-    return F.filter(words(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(words(text), lambda t: (F.length(t) > 1) & ~t.isin(*schemas.STOPWORDS))
 
 
 def module_of(path: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import ids, text
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -41,16 +42,16 @@ def idf_table(p: DataFrame, n: Column | int) -> DataFrame:
 def bm25(docs: DataFrame, key: str, body: Column, query: str) -> DataFrame:
     """key and score of every document; query tokens count as often as they stand. No rows for a query without tokens.
 
-    Lengths and the vocabulary's mean are over all documents; only the postings of query tokens are joined with their idf.
+    Documents are tokenized once, into a written table of postings. Lengths and the vocabulary's mean are over all documents; only the
+    postings of query tokens are joined with their idf.
     """
-    spark = docs.sparkSession
-    lengths = docs.select(key, F.size(text.tokens(body)).alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl")).first()
-    wanted = spark.range(1).select(F.explode(text.tokens(F.lit(query))).alias("token")).groupBy("token").agg(F.count("*").alias("times"))
-    p = postings(docs, key, body)
-    idf = idf_table(p, totals["n"])
+    wanted = docs.sparkSession.range(1).select(F.explode(text.tokens(F.lit(query))).alias("token")).groupBy("token").agg(F.count("*").alias("times"))
+    p = written(postings(docs, key, body), "postings")
+    n = docs.count()
+    avgdl = (p.agg(F.sum("tf")).first()[0] or 0) / n if n else 0
+    idf = idf_table(p, n)
     k1, b = schemas.BM25_K1, schemas.BM25_B
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / (totals["avgdl"] or 1.0))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / (avgdl or 1.0))
     hit = p.join(F.broadcast(wanted), "token").join(idf, "token").select(key, (F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("s"))
     scored = hit.groupBy(key).agg(F.sum("s").alias("score"))
     return docs.select(key).join(scored, key, "left").join(F.broadcast(wanted.limit(1)), how="left_semi").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
