@@ -118,12 +118,14 @@ class ShardStore:
         gen = before + 1
         plan = S.stash(self.plan(self.manifest(before)), "shard-plan")
         merged = plan.filter("into is not null")
-        runs = merged.select("into").distinct().count()
+        names = merged.select("into").distinct()
+        runs = names.count()
         if not runs:
             return before
-        moves = merged.select("gen", "shard", "into")
+        place = names.withColumn("at", F.row_number().over(Window.orderBy("into")) - 1)  # a row for each merged file
+        moves = merged.select("gen", "shard", "into").join(place, "into")
         rows = self.read(before, merged).join(F.broadcast(moves) if moves.count() <= BROADCAST_SHARDS else moves, ["gen", "shard"])
-        rows = rows.select("row", "arrival", F.col("into").alias("shard")).repartition(runs, "shard")
+        rows = rows.select("row", "arrival", F.col("into").alias("shard"), "at").repartitionById(runs, "at").drop("at")  # a task for each file
         rows.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/runs/gen={gen}")
         new = self._counted(self._stored(gen, self._shape(self.row)))
         version = self._commit(plan.filter("into is null").unionByName(new, allowMissingColumns=True), gen)
