@@ -73,6 +73,7 @@ def strip_diff_prefix(path: Column) -> Column:
 
 def changed_identifiers(line: Column) -> Column:
     """Names of functions, classes, assigned names, own attributes and names with an underscore in a changed line."""
+    # The patterns that name an identifier.
     patterns = (r"(?U)\bdef\s+([A-Za-z_]\w*)\s*\(", r"(?U)\bclass\s+([A-Za-z_]\w*)", r"(?U)^[ \t]*([A-Za-z_]\w*)\s*[=:]", r"(?U)\bself\.([A-Za-z_]\w*)", r"(?U)\b([A-Za-z_]\w*_\w+)\b")
     return F.flatten(F.array(*(F.regexp_extract_all(line, F.lit(p), F.lit(1)) for p in patterns)))
 

@@ -412,6 +412,67 @@ def op_j25_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(n, "c_nationkey", "left").join(s, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("none")).alias("nation"), F.coalesce("n", F.lit(0)).alias("suppliers"))
 
 
+@query("""with t as (select distinct l_orderkey as sha, l_suppkey as path from lineitem), n as (select sha, 1 / sqrt(count(*)) as w from t group by sha),
+a as (select s_suppkey as path, s_nationkey as component, max(s_suppkey) over (partition by s_nationkey) as canonical from supplier), names as (select x.path as target, y.path from a x join a y using (component)),
+h as (select distinct names.target, t.sha, n.w from names join t on t.path = names.path join n on n.sha = t.sha), whole as (select target, sum(w) as whole from h group by target),
+p as (select h.target, a.canonical as coupled, h.w from h join t using (sha) join a on a.path = t.path where t.path not in (select path from names where names.target = h.target) and h.sha in (select o_orderkey from orders))
+select target, coupled, round_even(least(1.0, sum(w) / any_value(whole)), 4) as weight, count(*) as support from p join whole using (target) group by target, coupled""")
+def op_j16_alias_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-change with the suppliers of a nation as names of one file."""
+    touches = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_suppkey").alias("path")).distinct()
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("component"))
+    alias = s.join(s.groupBy("component").agg(F.max("path").alias("canonical")), "component")
+    dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("message"))
+    return history.coupling(touches, s.select(F.col("path").alias("target")), alias, dates, 1 << 30).select("target", "coupled", "weight", "support")
+
+
+@query("select doc_id, greatest(1, ceil((n_chars - 64) / 448.0))::bigint as n_chunks from documents")
+def op_c24_chunk_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C24."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.chunk_count(F.col("n_chars"), 512, 64).cast("bigint").alias("n_chunks"))
+
+
+@query("select p_partkey, replace(p_brand, '#', '') || '/' || p_partkey || '.py' as path from part")
+def op_c08_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths brought to one form."""
+    b = F.regexp_replace("p_brand", "#", "")
+    raw = F.concat(F.lit(" ./"), b, F.lit("//x\\\\../"), F.lit("./"), F.col("p_partkey").cast("string"), F.lit(".py "))
+    return table(spark, sf_dir, "part").select("p_partkey", text.normal_path(raw).alias("path"))
+
+
+@query("""select p_partkey, path from (select p_partkey, case p_size % 4 when 0 then 'build/' when 1 then 'a/x.egg-info/' when 2 then 'src/.git/' else 'src/builds/' end || p_partkey || '.py' as path from part) where path like 'src/builds/%'""")
+def op_s01_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that are never scanned."""
+    z = F.col("p_size") % 4
+    path = F.concat(F.when(z == 0, "build/").when(z == 1, "a/x.egg-info/").when(z == 2, "src/.git/").otherwise("src/builds/"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path")).filter(~files.excluded(F.col("path")))
+
+
+@query("""select 'checks/' || p_partkey || '_test.py' as path from part where p_size % 3 = 0""")
+def op_f03_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """test files of the first tier that has any."""
+    k = F.col("p_partkey").cast("string")
+    z = F.col("p_size") % 3
+    path = F.when(z == 0, F.concat(F.lit("checks/"), k, F.lit("_test.py"))).when(z == 1, F.concat(F.lit("tests/test_"), k, F.lit(".py"))).otherwise(F.concat(F.lit("checks/"), k, F.lit(".py")))
+    return testsel.discover(table(spark, sf_dir, "part").select(path.alias("path")), ["checks"])
+
+
+@query("""select s_suppkey, case when s_suppkey % 5 = 0 then 'docs' when s_suppkey % 5 = 1 then 'consumers' when s_suppkey % 5 = 2 then 'tests' when s_acctbal > 5000 then 'consumers' when s_acctbal > 2000 then 'tests' else 'docs' end as bucket from supplier""")
+def op_o28_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section of an action."""
+    z, b = F.col("s_suppkey") % 5, F.col("s_acctbal")
+    s = table(spark, sf_dir, "supplier").withColumn("suggested_action", F.when(z == 0, "Update the Schema").when(z == 1, "Tell the caller").when(z == 2, "VERIFY it").otherwise("look"))
+    return s.withColumn("impact_surface", F.when(b > 5000, "api").when(b > 2000, "tests").otherwise("unknown")).select("s_suppkey", report.action_bucket().alias("bucket"))
+
+
+@query("""with c as (select 'f' || s_suppkey as file, case when s_acctbal > 6000 then 2 when s_acctbal > 3000 then 1 else 0 end as conf, s_nationkey % 3 as risk from supplier) select file from c order by conf desc, risk desc, file limit 3""")
+def op_w07_top_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three gravest."""
+    b, r = F.col("s_acctbal"), F.col("s_nationkey") % 3
+    c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("file"), F.lit(None).cast("string").alias("symbol"), F.lit(True).alias("corroborated"), F.when(b > 6000, "high").when(b > 3000, "medium").otherwise("low").alias("confidence"), F.when(r == 2, "breaking").when(r == 1, "behavior_change").otherwise("unknown").alias("impact_risk"))
+    return report.top_risks(c).select("file")
+
+
 # --- inline ------------------------------------------------------------------------------------------------------------
 
 PROJECT = {
