@@ -16,10 +16,15 @@ def evidence(**given: Column) -> Column:
     return F.struct(*(F.coalesce(given[k].cast(t), F.lit(None).cast(t)).alias(k) if k in given else F.lit(None).cast(t).alias(k) for k, t in EVIDENCE.items()))
 
 
+def number(c: Column) -> Column:
+    """A count as text of fixed width, which sorts as the number does."""
+    return F.lpad(c.cast("bigint").cast("string"), 12, "0")
+
+
 def shaped(df: DataFrame, part: int, order: list[Column], **columns: Column) -> DataFrame:
-    """Candidates of one result; part and ord give the order of arrival."""
+    """Candidates of one result; part and ord (a text that sorts) give the order of arrival without ranking all rows in one place."""
     own = {k: columns.get(k, F.lit(None).cast("string")) for k in COLUMNS[2:]}
-    return df.select(F.lit(part).alias("part"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("key"), *(v.alias(k) for k, v in own.items())).withColumn("ord", F.row_number().over(Window.partitionBy("part").orderBy("key"))).select(*COLUMNS)
+    return df.select(F.lit(part).alias("part"), F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in order)).alias("ord"), *(v.alias(k) for k, v in own.items()))
 
 
 def from_structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,9 +46,9 @@ def from_lineage(sites: DataFrame, validations: DataFrame, transforms: DataFrame
     read = F.col("kind") == "read"
     breaks = F.col("if_removed") | F.col("if_renamed")
     key = F.when(read, "read_sites").otherwise("write_sites")
-    places = [F.col("file"), F.col("line"), F.col("col"), F.col("id")]
+    places = [F.col("file"), number(F.col("line")), number(F.col("col")), F.col("id")]
     s = shaped(
-        sites, 2, [F.when(read, 0).otherwise(1), *places],
+        sites, 2, [F.when(read, "0").otherwise("1"), *places],
         file=F.col("file"), symbol=F.col("enclosing_symbol_id"), kind=F.lit("field"), impact_risk=F.when(breaks, "breaking").otherwise("behavior_change"), impact_surface=F.when(read, "api").otherwise("data_handling"),
         reason=F.format_string("Tool 2 %s for field '%s' (changed: '%s')", F.when(read, "read_site").otherwise("write_site"), F.col("field_path"), F.lit(changed)), confidence=F.when(F.col("confidence").isin("high", "medium", "low"), F.col("confidence")).otherwise("medium"),
         suggested_action=F.when(breaks, "BREAKING — update or guard field access").otherwise("Verify data field access after change"), corroborated=F.lit(True),
@@ -65,7 +70,7 @@ def from_lineage(sites: DataFrame, validations: DataFrame, transforms: DataFrame
 def from_history(couplings: DataFrame) -> DataFrame:
     w = F.col("weight")
     return shaped(
-        couplings, 5, [F.col("target"), F.col("place")], file=F.col("coupled"), impact_risk=F.when(w >= schemas.COUPLING_RISK_WEIGHT, "behavior_change").otherwise("unknown"), impact_surface=F.lit("unknown"),
+        couplings, 5, [F.col("target"), number(F.col("place"))], file=F.col("coupled"), impact_risk=F.when(w >= schemas.COUPLING_RISK_WEIGHT, "behavior_change").otherwise("unknown"), impact_surface=F.lit("unknown"),
         reason=F.format_string("Historically co-changed with %s (weight=%.2f, support=%d)", F.col("target"), w, F.col("support")), confidence=text.label(w, schemas.CONFIDENCE_BOUNDS), suggested_action=F.lit("Review for co-change pattern"), corroborated=F.lit(True),
         evidence=evidence(tool=F.lit("tool4_coupling"), query_id=F.concat_ws("::", "target", "coupled"), detail=F.to_json(F.struct("weight", "support", "examples"))),
     )
@@ -73,7 +78,7 @@ def from_history(couplings: DataFrame) -> DataFrame:
 
 def from_neighbours(found: DataFrame) -> DataFrame:
     return shaped(
-        found, 6, [-F.col("score"), F.col("file"), F.col("start_line")], file=F.col("file"), symbol=F.col("symbol"), impact_risk=F.lit("unknown"), impact_surface=F.lit("unknown"), reason=F.format_string("Semantic neighbor (score=%.2f): %s", F.col("score"), F.col("rationale_snippet")),
+        found, 6, [number((1 - F.col("score")) * 1_000_000_000), F.col("file"), number(F.col("start_line"))], file=F.col("file"), symbol=F.col("symbol"), impact_risk=F.lit("unknown"), impact_surface=F.lit("unknown"), reason=F.format_string("Semantic neighbor (score=%.2f): %s", F.col("score"), F.col("rationale_snippet")),
         confidence=F.lit("low"), suggested_action=F.lit("Investigate semantic similarity"), corroborated=F.lit(False),
         evidence=evidence(tool=F.lit("tool3_semantic"), query_id=F.col("neighbor_id"), detail=F.to_json(F.struct("score", "method", "rationale_snippet"))),
     )
@@ -82,7 +87,7 @@ def from_neighbours(found: DataFrame) -> DataFrame:
 def from_tests(tests: DataFrame) -> DataFrame:
     why = F.array_join(F.transform(F.slice("reasons", 1, 3), lambda r: F.concat_ws(": ", r["type"], r["evidence"])), "; ")
     return shaped(
-        tests, 7, [F.col("rank")], file=F.col("file"), symbol=F.col("nodeid"), kind=F.lit("test"), impact_risk=F.lit("behavior_change"), impact_surface=F.lit("tests"), reason=F.concat(F.lit("Test impacted: "), F.coalesce(text.missing(why), F.lit("matched"))),
+        tests, 7, [number(F.col("rank"))], file=F.col("file"), symbol=F.col("nodeid"), kind=F.lit("test"), impact_risk=F.lit("behavior_change"), impact_surface=F.lit("tests"), reason=F.concat(F.lit("Test impacted: "), F.coalesce(text.missing(why), F.lit("matched"))),
         confidence=F.col("confidence"), suggested_action=F.lit("Run this test to verify change"), corroborated=F.lit(True), evidence=evidence(tool=F.lit("tool5_tests"), query_id=F.col("test_id"), detail=F.to_json(F.struct("nodeid", "score", "rank", "reasons"))),
     )
 
@@ -137,5 +142,6 @@ def pruned(candidates: DataFrame, change_class: str, field_path: str | None, mos
     if change_class == "api_change" and field:
         c = c.filter(near | (F.col("corroborated") & F.col("confidence").isin("high", "medium")))
     place = F.row_number().over(Window.partitionBy("corroborated").orderBy("seq"))
-    c = c.withColumn("_place", place).filter(F.col("_place") <= F.when(F.col("corroborated"), most).otherwise(most_other)).drop("_place")
+    c = c.withColumn("_place", place).filter(F.col("_place") <= max(most, most_other))  # a bound that Spark applies before the shuffle
+    c = c.filter(F.col("_place") <= F.when(F.col("corroborated"), most).otherwise(most_other)).drop("_place")
     return c.orderBy(F.desc("corroborated"), F.desc(text.rank_of(F.col("confidence"), schemas.CONFIDENCE_RANK)), "file", F.coalesce("symbol", F.lit("")))

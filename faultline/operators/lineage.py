@@ -114,7 +114,7 @@ def truncated(sites: DataFrame, limit: int, kinds: tuple[str, str] = ("read", "w
     total = F.col("a") + F.col("b")
     share = F.when((F.col("a") > 0) & (F.col("b") > 0), F.greatest(F.lit(1), F.floor(limit * F.col("a") / total))).otherwise(limit)
     budgets = counts.select(F.when(total > limit, share).otherwise(total).alias("for_first"), F.when(total > limit, F.when((F.col("a") > 0) & (F.col("b") > 0), limit - share).otherwise(limit)).otherwise(total).alias("for_second"))
-    ranked = sites.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order)))
+    ranked = sites.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("place") <= limit)
     return ranked.join(F.broadcast(budgets)).filter(F.when(F.col("kind") == first, F.col("place") <= F.col("for_first")).otherwise(F.col("place") <= F.col("for_second"))).drop("place", "for_first", "for_second")
 
 
