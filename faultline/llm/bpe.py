@@ -260,4 +260,4 @@ def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
                 ids = c.encode(t[part.start : part.stop])
                 yield pa.record_batch([batch.column(0)[part.start : part.stop], as_lists(ids), pa.array(c.decode(ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, SCHEMA)
+    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(S.tidy(run), SCHEMA)

@@ -219,4 +219,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             rows = [scanner.scan(t) for t in S.texts(batch)]
             yield pa.record_batch([batch.column(0), *(pa.array([r[n] for r in rows], kind) for n, kind in fields)], ["doc_id", *(n for n, _ in fields)])
 
-    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, COLUMNS)
+    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(S.tidy(run), COLUMNS)

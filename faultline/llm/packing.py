@@ -162,4 +162,4 @@ def pack(df: DataFrame, path: str | None = None, window: int = WINDOW, shard_doc
         if names:
             yield flush()
 
-    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, PIECES)
+    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(S.tidy(run), PIECES)

@@ -88,7 +88,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     name = F.regexp_extract(value, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
     host = F.when(name != "", name).when(value != "", value)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), host.alias("host"))
-    return rows.mapInArrow(run, "doc_id bigint, host string, " + ", ".join(f"{m} long" for m in MEASURES))
+    return rows.mapInArrow(S.tidy(run), "doc_id bigint, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def beta_prior(hosts: int, n: float, f: float, n2: float, f2: float) -> tuple[float, float]:

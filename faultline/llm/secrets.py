@@ -226,7 +226,7 @@ def scan(df: DataFrame, net: Network | None = None, id_col: str = "doc_id", text
             spans = [[{"start": a, "stop": b, "kind": k, "score": p} for a, b, k, p in x] for x in scanner.scan(S.texts(batch))]
             yield pa.record_batch([batch.column(0), pa.array(spans, SPAN)], ["doc_id", "spans"])
 
-    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, spans array<struct<start: int, stop: int, kind: string, score: double>>")
+    return S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(S.tidy(run), "doc_id bigint, spans array<struct<start: int, stop: int, kind: string, score: double>>")
 
 
 def masked(text: str, spans: list[tuple[int, int, str, float]]) -> str:
@@ -257,7 +257,7 @@ def redact(df: DataFrame, net: Network | None = None, text_col: str = "text", si
             cols[at] = pa.array([masked(t, x) if x else t for t, x in zip(texts, found)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    out = df.mapInArrow(run, df.schema)
+    out = df.mapInArrow(S.tidy(run), df.schema)
     if size_col and size_col in names:
         out = out.withColumn(size_col, F.length(F.col(f"`{text_col}`")).cast(df.schema[size_col].dataType))
     return out

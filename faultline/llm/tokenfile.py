@@ -165,7 +165,7 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
             yield flush()
 
     rows = S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = S.stash(rows.mapInArrow(run, "shard bigint, path string, documents bigint, ids bigint"), "token-manifest")
+    shards = S.stash(rows.mapInArrow(S.tidy(run), "shard bigint, path string, documents bigint, ids bigint"), "token-manifest")
     # a row for each shard of millions of ids: small beside the data, and counts alone go through one task
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.select(F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first_id"), "path", "documents", "ids")
@@ -187,7 +187,7 @@ def read(spark: SparkSession, shards: DataFrame) -> DataFrame:
                 n = s.documents
                 yield pa.record_batch([pa.array([name.rpartition("/")[2]] * n, pa.string()), ids, pa.array(s.first[:-1]), pa.array(np.diff(s.first)), pa.array(crc, pa.int64()), pa.array(np.arange(n))], ["path", "doc_id", "start", "n_tokens", "ids_crc32", "place"])
 
-    return spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(run, ROWS)
+    return spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(S.tidy(run), ROWS)
 
 
 def round_trip(df: DataFrame, to: str | None = None, **options) -> DataFrame:

@@ -37,7 +37,7 @@ EPOCHS = 12
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words whose terms a worker remembers.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([of(t).tobytes() for t in S.texts(batch)], pa.binary())], ["doc_id", "y", "terms"])
 
-    rows = S.plain(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").join(known, "doc_id").mapInArrow(run, "doc_id bigint, y int, terms binary")
+    rows = S.plain(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").join(known, "doc_id").mapInArrow(S.tidy(run), "doc_id bigint, y int, terms binary")
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
     return train([np.frombuffer(x.as_buffer(), np.int32) for x in got["terms"].combine_chunks()] if len(got) else [], np.array(got["y"].to_pylist(), int))
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
             t = S.texts(batch)
             yield pa.record_batch([batch.column(0), pa.array(model.scores([of(x) for x in t]), pa.float64())], ["doc_id", "score"])
 
-    return S.plain(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+    return S.plain(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(S.tidy(run), "doc_id bigint, score double")
 
 
 def reject(docs: DataFrame, model: Machine, limit: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -193,4 +193,4 @@ def reject(docs: DataFrame, model: Machine, limit: float = 0.5, text_col: str =
         for batch in batches:
             yield batch.filter(pa.array(model.scores([of(t or "") for t in batch.column(at).to_pylist()]) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(S.tidy(run), docs.schema)
