@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together; bounds a block's memory.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct chunks that a worker's memo keeps.
 MEMO_ENTRIES = 2_000_000
 #: A space, then any white space.

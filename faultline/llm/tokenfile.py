@@ -130,7 +130,7 @@ def put(uri: str, data: bytes) -> None:
     system.move(half, path)
 
 
-def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 8 << 20) -> DataFrame:
+def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 4 << 20) -> DataFrame:
     """Write df's documents as shards under ``to`` and give a row for each shard: first_id, path, documents, ids.
 
     first_id is the count of ids in all shards before it. A partition with more than ``shard_ids`` ids makes several shards.
