@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BPE_50K = "byte_bpe_50k.json"
+#: Bytes of texts that a worker is sent at once, so that long documents do not add up; a session's smaller value stays.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def tokenizer_path(name: str = BPE_50K) -> str:
@@ -24,7 +26,10 @@ def tokenizer_path(name: str = BPE_50K) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where neither PYTHONPATH nor the working folder has it."""
+    """Make Python workers ready: batches of bounded size, and this package where neither PYTHONPATH nor the working folder has it."""
+    size = spark.conf.get(ARROW_BYTES, None)
+    if size is None or not size.rstrip("bB").isdigit() or int(size.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
     sc = spark.sparkContext
     if ROOT in known or getattr(sc, "_faultline_shipped", False):
