@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are encoded together; bounds a block's memory.
 BLOCK_BYTES = 4 << 20
 #: Distinct chunks that a worker's memo keeps.
-MEMO_ENTRIES = 2_000_000
+MEMO_ENTRIES = 1_000_000
 #: A space, then any white space.
 _WIDE = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUT = re.compile(r" (?=\S)")

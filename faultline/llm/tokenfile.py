@@ -52,7 +52,7 @@ def pack(ids: np.ndarray, bits: int, block: int = BLOCK_IDS) -> tuple[bytes, np.
     sizes = [-(-block * bits // 8)] * full + [-(-rest * bits // 8)] * (rest > 0)
     offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
     if bits in (8, 16, 32):
-        return ids.astype(f"<u{bits // 8}").tobytes(), offsets
+        return ids.astype(f"<u{bits // 8}", copy=False).tobytes(), offsets
     out = []
     for at in range(0, len(ids), block * 64):
         part = ids[at : at + block * 64].astype("<u4")
@@ -139,6 +139,7 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
     S.ship(spark)
     path, bits = path or S.tokenizer_path(), width(vocabulary)
     end = np.uint32(END_ID)
+    held_as = "<u2" if bits <= 16 else "<u4"  # until a shard is written
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,7 +157,7 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 names.append(doc)
-                parts.append(np.append(ids, end))
+                parts.append(np.append(ids, end).astype(held_as))
                 held += len(ids) + 1
                 if held >= shard_ids:
                     yield flush()
