@@ -97,3 +97,31 @@ def test_packing_puts_neighbours_together():
     for name, *_, sequence, _ in p.rows:
         together.setdefault(sequence, set()).add(name)
     assert sorted(map(sorted, together.values())) == [[0, 3], [1, 4], [2, 5]]
+
+
+def test_packing_finds_neighbours_across_partitions_by_corpus_statistics(spark):
+    words = ["apple orchard cider harvest", "engine piston torque gearbox", "violin sonata orchestra cello", "glacier moraine crevasse iceberg"]
+    rows = [(i, " ".join([words[i % 4]] * 12)) for i in range(32)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(4, "doc_id")
+    for part_ids in (packing.PART_IDS, 1000):
+        got = packing.pack(df, window=256, shard_docs=8, part_ids=part_ids).collect()
+        assert sum(r.length for r in got) == sum(len(ids_of(t)) + 1 for _, t in rows)
+        whole = {}
+        for r in got:
+            if r.length == r.doc_tokens:
+                whole.setdefault(r.sequence_id, []).append(r.doc_id)
+        pairs = [(a, b) for x in whole.values() for a in x for b in x if a < b]
+        assert any(b - a >= 16 for a, b in pairs) and sum(a % 4 == b % 4 for a, b in pairs) > 0.7 * len(pairs)
+
+
+def test_packing_weights_come_from_the_corpus():
+    rare, common, other = [np.array(x, "<u4") for x in ([1, 2], [1, 3], [4, 5])]
+    index = packing.Bm25([rare, common, other], packing.Stats(1000, 2000, np.array([0, 10, 10, 10, 10, 10])))
+    assert index.of(0)[1] > index.of(0)[2] == 0  # 1 is in over half of the shard and in few documents of the corpus
+    assert index.like(np.array([3, 4]))[1] > 0
+
+
+def test_a_group_that_no_cut_divides_is_dealt_evenly():
+    x = np.tile(np.eye(1, packing.SLOTS, dtype=np.float32), (300, 1))
+    r = packing.Router(x, np.full(300, 10), 5)
+    assert np.bincount(r.tasks(r.places(x), 0), minlength=5).tolist() == [60] * 5
