@@ -1,9 +1,10 @@
 """8. Secret scans: patterns, and a character convolutional network over every candidate with its context.
 
 Candidates are the spans of the base patterns and all other runs of ``RUN`` key characters or more that hold a letter and a digit. Each is
-read with ``LEFT`` characters before and ``RIGHT`` behind it. The network (embedding, one convolution, maximum and mean over
+read with ``LEFT`` characters before and ``RIGHT`` behind it. A candidate longer than ``BODY`` is read in overlapping parts and from each separator inside it, and
+has the greatest score of these. The network (embedding, one convolution, maximum and mean over
 places, one dense layer; numpy alone) is trained on labelled findings that ``findings`` draws: keys of the usual kinds in assignments, headers and running text, against names, hosts, paths, versions,
-dates, numbers and words. A third of the findings is set aside to calibrate the scores (Platt) and to choose, for each class of
+dates, numbers and words; ``long_findings`` draws runs with long plain leads. A third of the findings is set aside to calibrate the scores (Platt) and to choose, for each class of
 candidates, the highest threshold that keeps a recall of ``RECALL``. Candidates of no base pattern whose score reaches the threshold become spans of kind ``cnn``; base spans
 always stay, with their score.
 
@@ -31,7 +32,7 @@ from . import _shared as S
 RUN = 16
 LEFT, BODY, RIGHT = 24, 40, 8
 RECALL = 0.97
-FINDINGS, EPOCHS = 4500, 8
+FINDINGS, LONG_FINDINGS, EPOCHS = 4500, 1500, 8
 KINDS = ("assign", "access", "hex", "cnn")
 
 # The base patterns and the lengths that their spans need.
@@ -81,6 +82,22 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def mixed(body: str) -> bool:
+    """Whether a run of key characters is long enough and holds a letter and a digit."""
+    return len(body) >= RUN and any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
+
+
+def views(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Parts of a candidate that are scored: itself; of a long one also overlapping parts up to its end, and what follows each separator."""
+    out = [(start, end)]
+    if end - start > BODY:
+        out += [(a, a + BODY) for a in range(start + BODY // 2, end - BODY, BODY // 2)] + [(end - BODY, end)]
+        cuts = [start, *(k + 1 for k in range(start, end) if text[k] in "=/.+"), end + 1]
+        for k, a in enumerate(cuts[1:-1], 1):
+            out += [(a, b) for b in {cuts[k + 1] - 1, end} if b - a >= RUN]
+    return out
+
+
 def findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int, int, int]]:
     """Labelled findings: text, start, end, and 1 for a secret. Drawn by rule, the same for every run."""
     r = random.Random(seed)
@@ -112,6 +129,23 @@ def findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int, int, int
     return out
 
 
+def long_findings(n: int = LONG_FINDINGS, seed: int = 12) -> list[tuple[str, int, int, int, int]]:
+    """Labelled findings with a plain lead, such as a path or a name, of more than BODY characters: text, start, end, 1 for a secret, and where it begins."""
+    r = random.Random(seed)
+    drawn = findings(2 * n, seed + 1000)
+    bodies = [[t[a:b] for t, a, b, k in drawn if k == good] for good in (0, 1)]
+    out = []
+    for k in range(n):
+        good, lead, sep = k % 2, "", r.choice("/=/=._-")
+        while len(lead) <= BODY + r.randint(0, 40):
+            lead += r.choice(bodies[0]) + r.choice("/._-/")
+        lead = lead[:-1] + sep
+        before, behind = r.choice(["see ", "at ", "in ", "export ", "from ", ""]), r.choice([" ", ". ", '" ', ", "]) + "then on"
+        body = r.choice(bodies[good])
+        out.append((before + lead + body + behind, len(before), len(before + lead + body), good, len(before + lead)))
+    return out
+
+
 @dataclass
 class Network:
     embed: np.ndarray  # 256 x E
@@ -137,6 +171,15 @@ class Network:
         a, b = self.platt
         return 1 / (1 + np.exp(-np.clip(a * np.concatenate(out) + b, -30, 30))) if out else np.zeros(0)
 
+    def best(self, candidates: list[tuple[str, int, int]]) -> np.ndarray:
+        """The greatest score of each candidate's parts."""
+        parts = [views(*c) for c in candidates]
+        if not parts:
+            return np.zeros(0)
+        score = self.scores(np.stack([window(t, a, b) for (t, _, _), part in zip(candidates, parts) for a, b in part]))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.maximum.reduceat(score, np.cumsum(size) - size)
+
 
 def kind_of(body: str) -> int:
     """Class of a candidate for its threshold."""
@@ -144,16 +187,25 @@ def kind_of(body: str) -> int:
 
 
 def train(labelled: list[tuple[str, int, int, int]] | None = None, epochs: int = EPOCHS, seed: int = 3, embed: int = 8, filters: int = 24, width: int = 5, batch: int = 64) -> Network:
+    long = long_findings() if labelled is None else []
     labelled = findings() if labelled is None else labelled
-    x = np.stack([window(t, a, b) for t, a, b, _ in labelled])
-    y = np.array([k for *_, k in labelled], float)
-    kinds = np.array([kind_of(t[a:b]) for t, a, b, _ in labelled])
+    labelled, begins = labelled + [f[:4] for f in long], [a for _, a, _, _ in labelled] + [f[4] for f in long]
     rng = np.random.default_rng(seed)
-    aside = rng.random(len(y)) < 1 / 3
+    away = rng.random(len(labelled)) < 1 / 3
+    taught = []  # parts with RUN characters of a secret are secrets, those with none are not, and others teach nothing
+    for k, ((t, a, b, good), begin) in enumerate(zip(labelled, begins)):
+        if not away[k]:
+            for u, v in views(t, a, b):
+                inside = min(v, u + BODY) - max(u, begin)
+                if not good or inside >= RUN or inside <= 0:
+                    taught.append((window(t, u, v), good and inside > 0))
+    x, y = np.stack([w for w, _ in taught]), np.array([k for _, k in taught], float)
+    tests = [f for k, f in enumerate(labelled) if away[k]]
+    kinds = np.array([kind_of(t[a:b]) for t, a, b, _ in tests])
     net = Network(rng.normal(0, 0.3, (256, embed)), rng.normal(0, (2 / (width * embed)) ** 0.5, (width * embed, filters)), np.zeros(filters), rng.normal(0, 0.1, 2 * filters), 0.0)
     names = ("embed", "conv", "conv_bias", "dense", "bias")
     moments = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in names}
-    use, step = np.flatnonzero(~aside), 0
+    use, step = np.arange(len(y)), 0
     for _ in range(epochs):
         for pick in np.array_split(rng.permutation(use), max(1, len(use) // batch)):
             cols, h, top, pooled, z = net.forward(x[pick])
@@ -174,14 +226,15 @@ def train(labelled: list[tuple[str, int, int, int]] | None = None, epochs: int =
                 m = moments[n][0] = 0.9 * m + 0.1 * grads[n]
                 v = moments[n][1] = 0.999 * v + 0.001 * grads[n] ** 2
                 setattr(net, n, getattr(net, n) - 0.005 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-    z = net.forward(x[aside])[-1]
-    a, b, t = 1.0, 0.0, y[aside]
+    p = np.clip(net.best([f[:3] for f in tests]), 1e-12, 1 - 1e-12)
+    z = np.log(p / (1 - p))
+    a, b, t = 1.0, 0.0, np.array([f[3] for f in tests], float)
     for _ in range(200):  # Platt: logistic regression on the logit
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         a, b = a - 0.05 * float(((p - t) * z).mean()), b - 0.05 * float((p - t).mean())
     net.platt = (a, b)
-    p = net.scores(x[aside])
-    net.thresholds = tuple(threshold(p[kinds[aside] == k], t[kinds[aside] == k]) for k in (0, 1))
+    p = net.best([f[:3] for f in tests])
+    net.thresholds = tuple(threshold(p[kinds == k], t[kinds == k]) for k in (0, 1))
     return net
 
 
@@ -205,7 +258,7 @@ class Scanner:
             found += [(k, a, b, "cnn") for a, b in runs(raw) if not any(a < e and s < b for s, e, _ in base)]
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
         if found:
-            score = self.net.scores(np.stack([window(texts[k], a, b) for k, a, b, _ in found]))
+            score = self.net.best([(texts[k], a, b) for k, a, b, _ in found])
             for (k, a, b, kind), p in zip(found, score.tolist()):
                 if kind != "cnn" or p >= max(0.5, self.net.thresholds[kind_of(texts[k][a:b])]):
                     out[k].append((a, b, kind, p))

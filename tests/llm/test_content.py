@@ -105,6 +105,17 @@ def test_secrets(docs, empty):
     assert secrets.redact(docs, net).columns == docs.columns and clean[1].text.endswith("<secret> end") and clean[1].n_chars == len(clean[1].text) and clean[3].text is None and clean[6].text == docs.filter("doc_id = 6").first().text
 
 
+def test_secrets_behind_a_long_plain_lead():
+    net = secrets.train()
+    held = secrets.long_findings(600, seed=91)
+    p = net.best([(t, a, b) for t, a, b, *_ in held])
+    y = np.array([f[3] for f in held])
+    assert (p[y == 1] > 0.5).mean() > 0.9 and (p[y == 0] < 0.5).mean() > 0.9
+    lead = "/srv/application/configuration/production/settings/"
+    texts = [f"see {lead}{key} then" for key in ("ghp_Zk39fJq8LmX2vB7nT5rWcYhD1sGpA0eU", "release1/manifest/index.html")] + ["DEPLOYMENT_ENVIRONMENT_CONFIGURATION_SETTINGS=Zk39fJq8LmX2vB7nT5rWcYhD1sGpA0eU"]
+    assert [secrets.masked(t, x) != t for t, x in zip(texts, secrets.Scanner(net).scan(texts))] == [True, False, True]
+
+
 def toxic_rows():
     rng = np.random.default_rng(2)
     insults, groups, words = ["fool", "oaf"], ["reds", "blues"], [f"w{i}" for i in range(200)]
