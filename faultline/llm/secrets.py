@@ -1,6 +1,7 @@
 """8. Secret scans: patterns, and a character convolutional network over every candidate with its context.
 
-Candidates are the spans of the base patterns and all other runs of ``RUN`` key characters or more that hold a letter and a digit. Each is
+Candidates are the spans of the base patterns and all other runs of ``RUN`` key characters or more that hold a letter and a digit; of a run that
+a base span overlaps, what is left on each side. Each is
 read with ``LEFT`` characters before and ``RIGHT`` behind it. A candidate longer than ``BODY`` is read in overlapping parts and from each separator inside it, and
 has the greatest score of these. The network (embedding, one convolution, maximum and mean over
 places, one dense layer; numpy alone) is trained on labelled findings that ``findings`` draws: keys of the usual kinds in assignments, headers and running text, against names, hosts, paths, versions,
@@ -87,6 +88,17 @@ def mixed(body: str) -> bool:
     return len(body) >= RUN and any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
 
 
+def outside(a: int, b: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What base spans (in order of their start) leave of a run."""
+    for s, e, _ in base:
+        if e > a and s < b:
+            if s > a:
+                yield a, s
+            a = max(a, e)
+    if a < b:
+        yield a, b
+
+
 def views(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Parts of a candidate that are scored: itself; of a long one also overlapping parts up to its end, and what follows each separator."""
     out = [(start, end)]
@@ -255,7 +267,7 @@ class Scanner:
             raw = t.encode("utf-8", "replace")
             base = base_spans(t, raw)
             found += [(k, a, b, kind) for a, b, kind in base]
-            found += [(k, a, b, "cnn") for a, b in runs(raw) if not any(a < e and s < b for s, e, _ in base)]
+            found += [(k, u, v, "cnn") for a, b in runs(raw) for u, v in outside(a, b, base) if (u, v) == (a, b) or mixed(t[u:v])]
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
         if found:
             score = self.net.best([(texts[k], a, b) for k, a, b, _ in found])
