@@ -272,7 +272,7 @@ class Scanner:
         if found:
             score = self.net.best([(texts[k], a, b) for k, a, b, _ in found])
             for (k, a, b, kind), p in zip(found, score.tolist()):
-                if kind != "cnn" or p >= max(0.5, self.net.thresholds[kind_of(texts[k][a:b])]):
+                if kind != "cnn" or p >= self.net.thresholds[kind_of(texts[k][a:b])]:
                     out[k].append((a, b, kind, p))
         return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]
 

@@ -126,6 +126,15 @@ def test_secrets_beside_a_base_span_in_one_run():
     assert list(secrets.outside(0, 20, [(0, 4, "hex"), (2, 6, "hex"), (10, 12, "hex"), (18, 30, "assign")])) == [(6, 10), (12, 18)]
 
 
+def test_calibrated_threshold_alone_decides():
+    net = secrets.train()
+    t = "bearer ghp_Zk39fJq8LmX2vB7nT5rWcYhD1sGpA0eU please"
+    net.platt, net.thresholds = (0.0, -1.0), (0.2, 0.2)  # every score is 0.27
+    assert [k for *_, k, _ in secrets.Scanner(net).scan([t])[0]] == ["cnn"]
+    net.thresholds = (0.3, 0.3)
+    assert secrets.Scanner(net).scan([t])[0] == []
+
+
 def toxic_rows():
     rng = np.random.default_rng(2)
     insults, groups, words = ["fool", "oaf"], ["reds", "blues"], [f"w{i}" for i in range(200)]
