@@ -35,7 +35,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Notices of public licences, as their stewards publish them.
+# Notices of public licences, as their stewards publish them, and four short lines as the supplied documents have them.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit", "released under the MIT license"),
