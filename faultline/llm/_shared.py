@@ -67,12 +67,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, is computed once."""
     to = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(to)
-    return df.sparkSession.read.schema(df.schema).parquet(to)
+    out = df.sparkSession.read.schema(df.schema).parquet(to)
+    out._written_to = to
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(table: DataFrame) -> None:
+    """Remove a stashed table that nothing reads any more."""
+    p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    p.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def need(df: DataFrame, *columns: str) -> None:

@@ -36,50 +36,103 @@ def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return flat[at]
 
 
+class Hasher:
+    """64-bit polynomial hashes of byte strings, modulo 2**64, over random values of bytes."""
+
+    def __init__(self):
+        rng = np.random.default_rng(20240229)
+        self.of_byte = rng.integers(0, 2**64, 256, np.uint64, endpoint=False)
+        self.factor = (int(rng.integers(2**61, 2**62)) << 1 | 1) & (2**64 - 1)
+        self.power = np.cumprod(np.full(64, self.factor, np.uint64))
+
+    def __call__(self, chunks: pa.Array) -> np.ndarray:
+        offsets, data = bytes_of(chunks)
+        size = np.diff(offsets)
+        longest = int(size.max(initial=0))
+        if longest > len(self.power):
+            self.power = np.cumprod(np.full(2 * longest, self.factor, np.uint64))
+        place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.of_byte[data] * self.power[place], out=sums[1:])
+        h = sums[offsets[1:]] - sums[offsets[:-1]]
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + size.astype(np.uint64)
+
+
+class Pool:
+    """Values one after the other in an array that grows by doubling."""
+
+    def __init__(self, kind: type | str):
+        self.values, self.used = np.zeros(1 << 12, kind), 0
+
+    def room(self, n: int) -> None:
+        if self.used + n > len(self.values):
+            more = np.zeros(max(2 * len(self.values), self.used + n), self.values.dtype)
+            more[: self.used] = self.values[: self.used]
+            self.values = more
+
+    def add(self, values: np.ndarray) -> None:
+        self.room(len(values))
+        self.values[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class Memo:
-    """Ids of chunks met before, by a 128-bit hash of their bytes: about 30 bytes an entry, emptied beyond ``entries``."""
+    """Ids of chunks met before. A hash finds the place of a chunk by open addressing, its bytes are compared; emptied before it would hold more than ``entries``."""
 
     def __init__(self, entries: int):
-        self.entries = entries
-        rng = np.random.default_rng(20240229)
-        self.of_byte = rng.integers(0, 2**64, (2, 256), np.uint64, endpoint=False)
-        self.power = [np.cumprod(np.full(64, (int(p) << 1 | 1) & (2**64 - 1), np.uint64)) for p in rng.integers(2**61, 2**62, 2)]
+        self.entries, self.hash = entries, Hasher()
+        self.bits = max(4, int(2 * entries - 1).bit_length())
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.starts, self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys, self.counts, self.sizes, self.starts, self.bytes_at = Pool(np.uint64), Pool(np.int32), Pool(np.int32), Pool(np.int32), Pool(np.int32)
+        self.ids, self.bytes = Pool("<u4"), Pool(np.uint8)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray, chunks: pa.Array) -> np.ndarray:
+        """Place of each chunk, -1 where it is new."""
+        slot, out, mask = self._slot(h), np.full(len(h), -1, np.int64), (1 << self.bits) - 1
+        left = np.arange(len(h))
+        while len(left):
+            at = self.slots[slot[left]]
+            left, at = left[at >= 0], at[at >= 0]
+            hit = self.keys.values[at] == h[left]
+            out[left[hit]] = at[hit]
+            left = left[~hit]
+            slot[left] = (slot[left] + 1) & mask
+        met = np.flatnonzero(out >= 0)
+        offsets, data = bytes_of(chunks)
+        size = np.diff(offsets)[met]
+        differs = self.sizes.values[out[met]] != size
+        same = np.flatnonzero(~differs)
+        n = size[same]
+        bad = gather(data, offsets[:-1][met[same]], n) != gather(self.bytes.values, self.bytes_at.values[out[met[same]]].astype(np.int64), n)
+        upto = np.r_[0, np.cumsum(bad)]
+        ends = np.cumsum(n)
+        differs[same] = upto[ends] != upto[ends - n]
+        out[met[differs]] = -1
+        return out
 
-    def hashes(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def add(self, h: np.ndarray, chunks: pa.Array, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of new chunks. The caller has seen to it that they have room."""
+        first, mask = self.keys.used, (1 << self.bits) - 1
         offsets, data = bytes_of(chunks)
         size = np.diff(offsets)
-        place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
-        longest = int(size.max(initial=0))
-        out = []
-        for k in range(2):
-            if longest > len(self.power[k]):
-                self.power[k] = np.cumprod(np.full(2 * longest, self.power[k][0], np.uint64))
-            sums = np.r_[np.uint64(0), np.cumsum(self.of_byte[k][data] * self.power[k][place])]  # modulo 2**64
-            h = sums[offsets[1:]] - sums[offsets[:-1]]
-            out.append((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + size.astype(np.uint64))
-        return out[0], out[1]
-
-    def find(self, h: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Place of each, -1 where it is new."""
-        if not len(self.keys):
-            return np.full(len(h[0]), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h[0]), len(self.keys) - 1)
-        return np.where((self.keys[at] == h[0]) & (self.check[at] == h[1]), at, -1)
-
-    def add(self, h: tuple[np.ndarray, np.ndarray], flat: np.ndarray, counts: np.ndarray) -> None:
-        if len(self.keys) + len(counts) > self.entries:
-            self.clear()
-        keys = np.concatenate((self.keys, h[0]))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.check = keys[order], np.concatenate((self.check, h[1]))[order]
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))[order]
-        self.counts = np.concatenate((self.counts, counts.astype(np.int32)))[order]
-        self.flat = np.concatenate((self.flat, flat))
+        self.starts.add(self.ids.used + np.cumsum(counts) - counts)
+        self.bytes_at.add(self.bytes.used + offsets[:-1])
+        for pool, values in ((self.keys, h), (self.counts, counts), (self.sizes, size), (self.ids, flat), (self.bytes, data)):
+            pool.add(values)
+        place = np.arange(first, first + len(h), dtype=np.int32)
+        slot, left = self._slot(h), np.arange(len(h))
+        while len(left):
+            free = left[self.slots[slot[left]] < 0]
+            self.slots[slot[free]] = place[free]  # of those that meet in one slot the last stays
+            left = left[self.slots[slot[left]] != place[left]]
+            slot[left] = (slot[left] + 1) & mask
+        return place.astype(np.int64)
 
 
 def bytes_of(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,21 +150,27 @@ class Table:
     def __init__(self, encode: Encode, chunks: pa.Array, lead: str, memo: Memo | None = None):
         d = chunks.dictionary_encode()
         self.codes, names = d.indices.to_numpy(zero_copy_only=False), d.dictionary
-        if memo is None:
-            self.flat, self.counts = encode(names, lead)
+        if memo is None or len(names) > memo.entries:
+            self.pool = Pool("<u4")
+            flat, self.counts = encode(names, lead)
+            self.pool.add(flat)
             self.starts = np.cumsum(self.counts) - self.counts
             return
-        h = memo.hashes(names)
-        known = memo.find(h)
-        new = np.flatnonzero(known < 0)
-        old_flat, old_starts, old_counts = memo.flat, memo.starts, memo.counts
-        flat, counts = encode(names.take(pa.array(new)), lead)
-        self.starts, self.counts = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        met = known >= 0
-        self.starts[met], self.counts[met] = old_starts[known[met]], old_counts[known[met]]
-        self.starts[new], self.counts[new] = len(old_flat) + np.cumsum(counts) - counts, counts
-        self.flat = np.concatenate((old_flat, flat))
-        memo.add((h[0][new], h[1][new]), flat, counts)
+        if memo.keys.used + len(names) > memo.entries:
+            memo.clear()
+        h = memo.hash(names)
+        at = memo.find(h, names)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = names.take(pa.array(new))
+            at[new] = memo.add(h[new], fresh, *encode(fresh, lead))
+        self.pool, self.starts, self.counts = memo.ids, memo.starts.values[at].astype(np.int64), memo.counts.values[at].astype(np.int64)
+
+    def behind(self, more: np.ndarray) -> tuple[np.ndarray, int]:
+        """All ids with ``more`` behind those in use, and where more begins."""
+        self.pool.room(len(more))
+        self.pool.values[self.pool.used : self.pool.used + len(more)] = more
+        return self.pool.values, self.pool.used
 
 
 class TextEncoder:
@@ -149,9 +208,10 @@ class TextEncoder:
         head = Table(self.encode, chunks.take(pa.array(heads)), "")
         rest = Table(self.encode, chunks, " ", self.memo)  # heads too, though they are replaced below: few, and no copy is made
         starts, counts = rest.starts[rest.codes], rest.counts[rest.codes]
-        starts[heads] = head.starts[head.codes] + len(rest.flat)
+        flat, first = rest.behind(head.pool.values[: head.pool.used])
+        starts[heads] = head.starts[head.codes] + first
         counts[heads] = head.counts[head.codes]
-        ids = gather(np.concatenate((rest.flat, head.flat)), starts, counts)
+        ids = gather(flat, starts, counts)
         ends = np.cumsum(counts)[offsets[1:] - 1]
         return np.split(ids, ends[:-1])
 
@@ -165,7 +225,7 @@ class TextEncoder:
             out.append(self.encode(pa.array(chunks[:1]), "")[0])
             if len(chunks) > 1:
                 t = Table(self.encode, pa.array(chunks[1:]), " ")
-                out.append(gather(t.flat, t.starts[t.codes], t.counts[t.codes]))
+                out.append(gather(t.pool.values, t.starts[t.codes], t.counts[t.codes]))
         return np.concatenate(out).astype("<u4")
 
 

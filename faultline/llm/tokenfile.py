@@ -11,19 +11,23 @@ and unpacked with numpy. Layout, all little-endian:
 
 A doc_id that is null is stored as the smallest i64.
 
-Documents are range-partitioned and sorted by doc_id, a partition makes a shard, and shards lie in
-the shared folder. A task writes under a name of its own attempt and renames, so a lost or repeated
-task leaves no half file; the list of shards is what the tasks report, one small row each.
-
-Defined results: null text is empty and has the end id alone; repeated doc_ids stay separate
-documents, next to one another; an empty table gives no shard and no row; other columns are ignored.
+Texts are encoded where they are read, and the ids written to a table in the shared folder, two bytes each where the vocabulary
+allows. These ids, never texts, are then range-partitioned and sorted by doc_id and by the order of reading, so rows of one doc_id (or
+of none) split over tasks too; the tasks that write shards hold no tokenizer and no more than one shard. A partition makes shards of about ``SHARD_IDS`` ids,
+named by partition and number. Its rows are in a fixed order, so a repeated task writes the same bytes under the same names; it
+writes aside and renames, so a lost task leaves no half file. The manifest has a row for each shard; ids before a shard are
+counted by partition. Shards are read from their folder by Spark's reader; the driver holds no list of them.
+
+Defined results: null text is empty and has the end id alone; repeated doc_ids stay separate documents, next to one another in the order of reading;
+a null doc_id comes first; a text of any length is one document and may make a shard of its own; an empty table gives no shard and no row; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,12 @@ MAGIC = b"FLTOKEN1"
 BLOCK_IDS = 4096
 END_ID = 0
 NULL_ID = -(2**63)
-SHARDS = "first_id bigint, path string, documents bigint, ids bigint"
-ROWS = "path string, doc_id bigint, start long, n_tokens long, ids_crc32 long, place long"
+#: Ids of a shard, and of a range partition.
+SHARD_IDS, PART_IDS = 4 << 20, 64 << 20
+#: Ids that a partition has at least if there are fewer partitions than cores.
+LEAST_IDS = 1 << 20
+MANIFEST = "part int, number int, name string, documents bigint, ids bigint, before bigint"
+ROWS = "name string, doc_id bigint, start long, n_tokens long, ids_crc32 long, place long"
 
 
 def width(vocabulary: int) -> int:
@@ -78,16 +86,17 @@ def unpack(payload: bytes | memoryview, bits: int, count: int, block: int = BLOC
     return out
 
 
-def build(doc_ids: list[int | None], parts: list[np.ndarray], bits: int, block: int = BLOCK_IDS) -> bytes:
-    """One shard file."""
+def build(doc_ids: list[int | None], parts: list[np.ndarray], bits: int, block: int = BLOCK_IDS) -> Iterator[bytes]:
+    """One shard file, piece by piece."""
     first = np.zeros(len(parts) + 1, "<u8")
     np.cumsum([len(p) for p in parts], out=first[1:])
-    ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-    payload, offsets = pack(ids, bits, block)
+    payload, offsets = pack(np.concatenate(parts) if parts else np.zeros(0, "<u4"), bits, block)
     names = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
-    body = names.tobytes() + first.tobytes() + offsets.tobytes()
-    head = MAGIC + np.array([bits, block], "<u4").tobytes() + np.array([len(parts), len(ids), 40 + len(body)], "<u8").tobytes()
-    return head + body + payload
+    yield MAGIC + np.array([bits, block], "<u4").tobytes() + np.array([len(parts), int(first[-1]), 40 + names.nbytes + first.nbytes + offsets.nbytes], "<u8").tobytes()
+    yield names.tobytes()
+    yield first.tobytes()
+    yield offsets.tobytes()
+    yield payload
 
 
 class Shard:
@@ -118,7 +127,7 @@ class Shard:
         return self.ids(int(self.first[k]), int(self.first[k + 1]))
 
 
-def put(uri: str, data: bytes) -> None:
+def put(uri: str, pieces: Iterable[bytes]) -> None:
     """Write whole or not at all: under another name first."""
     from pyarrow import fs
 
@@ -126,58 +135,70 @@ def put(uri: str, data: bytes) -> None:
     system.create_dir(path.rpartition("/")[0], recursive=True)
     half = f"{path}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(half) as f:
-        f.write(data)
+        for piece in pieces:
+            f.write(piece)
     system.move(half, path)
 
 
-def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 4 << 20) -> DataFrame:
-    """Write df's documents as shards under ``to`` and give a row for each shard: first_id, path, documents, ids.
+def encoded(df: DataFrame, path: str, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, number (order of reading), size and ids, with the end id: a table in the shared folder."""
+    kind = "<u2" if bits <= 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = C.library_encoder(path)
+        for batch in batches:
+            ids = encode(batch.column(1))
+            held = pa.array([x.astype(kind).tobytes() + END_ID.to_bytes(np.dtype(kind).itemsize) for x in ids], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), held], ["doc_id", "size", "ids"])
+
+    rows = S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(S.tidy(run), "doc_id bigint, size bigint, ids binary")
+    return S.stash(rows.withColumn("number", F.monotonically_increasing_id()), "token-ids")
+
 
-    first_id is the count of ids in all shards before it. A partition with more than ``shard_ids`` ids makes several shards.
-    """
+def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 50257, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, part_ids: int = PART_IDS) -> DataFrame:
+    """Write df's documents as shards under ``to`` and give the manifest, a row for each shard: name, documents, ids, and first_id, the count of ids in all shards before it."""
     spark = df.sparkSession
     S.ship(spark)
-    path, bits = path or S.tokenizer_path(), width(vocabulary)
-    end = np.uint32(END_ID)
-    held_as = "<u2" if bits <= 16 else "<u4"  # until a shard is written
+    bits = width(vocabulary)
+    kind = "<u2" if bits <= 16 else "<u4"
+    rows = encoded(df, path or S.tokenizer_path(), bits, id_col, text_col)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-total // part_ids), min(spark.sparkContext.defaultParallelism * 2, total // LEAST_IDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get()
-        encode, n, held = C.library_encoder(path), 0, 0
+        part, n, held, before = TaskContext.get().partitionId(), 0, 0, 0
         names: list[int | None] = []
-        parts: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            name = f"{to}/part-{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.tok"
-            put(name, build(names, parts, bits))
-            return pa.record_batch([pa.array([task.partitionId() * 10_000 + n], pa.int64()), pa.array([name]), pa.array([len(parts)], pa.int64()), pa.array([held], pa.int64())], ["shard", "path", "documents", "ids"])
+            name = f"part-{part:06d}-{n:06d}.tok"
+            put(f"{to}/{name}", build(names, docs, bits))
+            return pa.record_batch([pa.array([x], k) for x, k in ((part, pa.int32()), (n, pa.int32()), (name, pa.string()), (len(docs), pa.int64()), (held, pa.int64()), (before, pa.int64()))], ["part", "number", "name", "documents", "ids", "before"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 names.append(doc)
-                parts.append(np.append(ids, end).astype(held_as))
-                held += len(ids) + 1
+                docs.append(np.frombuffer(data, kind))
+                held += len(docs[-1])
                 if held >= shard_ids:
                     yield flush()
-                    names, parts, n, held = [], [], n + 1, 0
-        if parts:
+                    names, docs, n, before, held = [], [], n + 1, before + held, 0
+        if docs:
             yield flush()
 
-    rows = S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = S.stash(rows.mapInArrow(S.tidy(run), "shard bigint, path string, documents bigint, ids bigint"), "token-manifest")
-    # a row for each shard of millions of ids: small beside the data, and counts alone go through one task
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.select(F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first_id"), "path", "documents", "ids")
+    ordered = rows.repartitionByRange(parts, "doc_id", "number").sortWithinPartitions("doc_id", "number").select("doc_id", "ids")
+    shards = S.stash(ordered.mapInArrow(S.tidy(run), MANIFEST), "token-manifest")
+    S.drop(rows)
+    # a row for each partition goes through one task
+    earlier = shards.groupBy("part").agg(F.sum("ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    return shards.join(earlier, "part").select("name", "documents", "ids", (F.col("earlier") + F.col("before")).alias("first_id"))
 
 
-def read(spark: SparkSession, shards: DataFrame) -> DataFrame:
-    """A row for each document of the shard files: path, doc_id, start (in the shard), n_tokens, ids_crc32 and its place in the shard."""
+def read(spark: SparkSession, to: str) -> DataFrame:
+    """A row for each document of the shard files under ``to``: name, doc_id, start (in the shard), n_tokens, ids_crc32 and its place in the shard."""
     S.ship(spark)
-    names = [r.path for r in shards.select("path").toLocalIterator()]  # a name for each shard, not for each document
-    if not names:
-        return spark.createDataFrame([], ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,14 +207,16 @@ def read(spark: SparkSession, shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(s.document(k)) for k in range(s.documents)]
                 ids = pa.array(s.doc_ids, mask=s.doc_ids == NULL_ID)
                 n = s.documents
-                yield pa.record_batch([pa.array([name.rpartition("/")[2]] * n, pa.string()), ids, pa.array(s.first[:-1]), pa.array(np.diff(s.first)), pa.array(crc, pa.int64()), pa.array(np.arange(n))], ["path", "doc_id", "start", "n_tokens", "ids_crc32", "place"])
+                yield pa.record_batch([pa.array([name.rpartition("/")[2]] * n, pa.string()), ids, pa.array(s.first[:-1]), pa.array(np.diff(s.first)), pa.array(crc, pa.int64()), pa.array(np.arange(n))], ["name", "doc_id", "start", "n_tokens", "ids_crc32", "place"])
 
-    return spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(S.tidy(run), ROWS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(to).select("path", "content").mapInArrow(S.tidy(run), ROWS)
 
 
 def round_trip(df: DataFrame, to: str | None = None, **options) -> DataFrame:
     """Write df, read the files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     spark = df.sparkSession
-    shards = S.stash(write(df, to or S.new_path(spark, "tokens"), **options), "token-shards")
-    first = shards.select(F.substring_index("path", "/", -1).alias("path"), "first_id")
-    return read(spark, shards).join(first, "path").select("doc_id", (F.col("first_id") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    to = to or S.new_path(spark, "tokens")
+    shards = S.stash(write(df, to, **options), "token-shards")
+    if shards.isEmpty():
+        return spark.createDataFrame([], "doc_id bigint, start long, n_tokens long, ids_crc32 long")
+    return read(spark, to).join(shards.select("name", "first_id"), "name").select("doc_id", (F.col("first_id") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -40,6 +40,14 @@ def test_memo_is_emptied_and_stays_right():
         assert e([t])[0].tolist() == ids_of(t)
 
 
+def test_memo_compares_bytes():
+    """Chunks under one hash stay apart."""
+    e = chunking.TextEncoder(bpe.codec(PATH).encode_chunks, bpe.codec(PATH).table.special)
+    e.memo.hash = lambda chunks: np.full(len(chunks), 7 << 50, np.uint64)
+    for t in ["one two three four", "three four five  six", "two six one seven"] * 2:
+        assert e([t])[0].tolist() == ids_of(t)
+
+
 def test_bpe(docs, empty):
     got = sorted((r.doc_id or -1, tuple(r.ids), r.decoded) for r in bpe.encode_decode(docs).collect())
     want = sorted((r.doc_id or -1, tuple(ids_of(r.text)), r.text or "") for r in docs.collect())
@@ -53,7 +61,7 @@ def test_packed_ids_round_trip_and_random_access(bits, n):
     x = np.random.default_rng(n + bits).integers(0, 2**bits, n, np.uint64).astype("<u4")
     payload, offsets = tokenfile.pack(x, bits)
     assert offsets[-1] == len(payload) and (tokenfile.unpack(payload, bits, n) == x).all()
-    s = tokenfile.Shard(tokenfile.build([7, None], [x[: n // 2], x[n // 2 :]], bits))
+    s = tokenfile.Shard(b"".join(tokenfile.build([7, None], [x[: n // 2], x[n // 2 :]], bits)))
     assert (s.document(0) == x[: n // 2]).all() and (s.document(1) == x[n // 2 :]).all() and s.doc_ids.tolist() == [7, tokenfile.NULL_ID]
     a, b = n // 3, n // 3 + min(n - n // 3, 50)
     assert (s.ids(a, b) == x[a:b]).all()
@@ -66,8 +74,26 @@ def test_token_files(docs, empty):
         ids = np.array([*ids_of(r.text), 0], "<u4")
         want.append((r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    got = sorted(map(tuple, tokenfile.round_trip(docs, shard_ids=3000).collect()), key=lambda r: r[1])
-    assert got == want
+    for size in ({"shard_ids": 3000}, {"shard_ids": 5, "part_ids": 10_000}):
+        got = sorted(map(tuple, tokenfile.round_trip(docs, **size).collect()), key=lambda r: r[1])
+        assert got == want
+
+
+def test_one_doc_id_spreads_over_partitions(spark, tmp_path):
+    """Repeated and null doc_ids in many partitions and shards; starts are gapless."""
+    df = spark.createDataFrame([(i, f"word{k} " * 20) for i in (None, 1) for k in range(60)], "doc_id bigint, text string").repartition(3)
+    to = f"file://{tmp_path}/tokens"
+    shards = tokenfile.write(df, to, shard_ids=200, part_ids=700).collect()
+    assert len({s.name[:11] for s in shards}) > 3 and len(shards) > 10
+    rows = sorted(tokenfile.round_trip(df, shard_ids=200, part_ids=700).collect(), key=lambda r: r.start)
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    assert len(rows) == 120 and [r.doc_id for r in rows] == [None] * 60 + [1] * 60
+
+
+def test_token_files_of_an_empty_table(empty):
     assert tokenfile.round_trip(empty).collect() == []
 
 
