@@ -31,6 +31,11 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def json_text(**columns: Column) -> Column:
+    """The same text of an object of columns: keys sorted, no spaces, nulls kept."""
+    return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})
+
+
 def digest(*parts: str) -> str:
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 

@@ -24,11 +24,53 @@ def module_of(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Slashes, without ./ in front, doubled slashes and inner parent steps."""
-    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"/(\./)+", "/"), r"/{2,}", "/")
-    for _ in range(4):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return F.regexp_replace(F.regexp_replace(p, r"^(\./)+", ""), r"(?<=.)/$", "")
+    """Slashes, without ./, doubled slashes and parent steps, however many; those that lead out of a relative path stay in front."""
+    p = F.translate(F.trim(path), "\\", "/")
+    whole = p.startswith("/")
+    back = lambda kept: (F.size(kept) > 0) & (F.coalesce(F.get(kept, F.size(kept) - 1), F.lit("..")) != "..")
+    step = lambda kept, x: F.when(x != "..", F.concat(kept, F.array(x))).when(back(kept), F.slice(kept, 1, F.size(kept) - 1)).when(whole, kept).otherwise(F.concat(kept, F.array(x)))
+    parts = F.filter(F.split(p, "/"), lambda x: ~x.isin("", "."))
+    short = F.concat(F.when(whole, "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when((short == "") & (p != ""), ".").otherwise(short)
+
+
+def normalized(words: Column) -> Column:
+    """Lower case, with one space between words."""
+    return F.trim(F.regexp_replace(F.lower(words), r"(?U)\s+", " "))
+
+
+def unix_lines(text: Column) -> Column:
+    """Line ends as line feeds."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
+# What names are made of, with and without dots, and a route.
+ROUTE = r"\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/\S+)"
+DOTTED = r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b"
+NAME = r"\b[A-Za-z_]\w+\b"
+
+
+def dotted_name(words: Column) -> Column:
+    """The first dotted name, or null."""
+    return missing(F.regexp_extract(words, "(?U)" + DOTTED, 0))
+
+
+def names(words: Column) -> Column:
+    return F.regexp_extract_all(words, F.lit("(?U)" + NAME), F.lit(0))
+
+
+def split_field(path: str) -> tuple[str, str]:
+    """Model and field of a dotted path."""
+    return path.rpartition(".")[0], path.rpartition(".")[2]
+
+
+def model_of(path: Column) -> Column:
+    """What stands before the last dot; empty without one."""
+    return F.when(path.contains("."), F.regexp_replace(path, r"\.[^.]*$", "")).otherwise("")
+
+
+def field_of(path: Column) -> Column:
+    return F.substring_index(path, ".", -1)
 
 
 def is_test_file(path: Column) -> Column:
@@ -80,8 +122,7 @@ def changed_identifiers(line: Column) -> Column:
 
 def route_of(text: Column) -> Column:
     """METHOD /path in a text, or null."""
-    pattern = r"(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/\S+)"
-    return missing(F.concat_ws(" ", missing(F.upper(F.regexp_extract(text, pattern, 1))), missing(F.regexp_extract(text, pattern, 2))))
+    return missing(F.concat_ws(" ", missing(F.upper(F.regexp_extract(text, "(?i)" + ROUTE, 1))), missing(F.regexp_extract(text, "(?i)" + ROUTE, 2))))
 
 
 def evidence_text(e: Column) -> Column:

@@ -291,6 +291,14 @@ def scan_text(path: str, content: bytes | None) -> list[dict]:
     return Scan(path, text).run(tree)
 
 
+def parser_available() -> bool:
+    """Whether sources can be parsed here."""
+    try:
+        return bool(ast.parse("x = 1").body)
+    except Exception:
+        return False
+
+
 def extract(files: DataFrame) -> DataFrame:
     """schemas.RAW rows of files(path, content). Each file is parsed once, whatever is asked of it later."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -4,33 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.shared import written
+from ..sources.shared import new_folder, written
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     """start, node, depth (least number of hops, 1 to ``depth``) over edges(src, dst) from starts(start). The start itself is left out.
 
-    One join for each hop; a hop goes on only from pairs that no shorter path has met, so cycles end.
+    One join for each hop, written beside the hops before it, so a hop reads its front, the edges and one folder of pairs met; a hop goes on only
+    from pairs that no shorter path has met, so cycles end. It stops when a hop finds nothing new; a depth of None means until then.
     """
-    pairs = edges.select("src", "dst").distinct()
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
-    front = seen
-    for hop in range(1, depth + 1):
+    spark = edges.sparkSession
+    pairs = written(edges.select("src", "dst").distinct(), "graph-edges")
+    first = starts.select("start", F.col("start").alias("node")).distinct()
+    folder, shape = new_folder(spark, "reach"), first.schema
+    first.write.parquet(f"{folder}/depth=0")
+    met = T.StructType([*shape.fields, T.StructField("depth", T.IntegerType())])
+    hop = 0
+    while depth is None or hop < depth:
+        front = spark.read.schema(shape).parquet(f"{folder}/depth={hop}")
         step = front.select("start", F.col("node").alias("src")).join(pairs, "src").select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(hop))
-        seen = seen.unionByName(front)
-    return seen.filter("depth > 0")
+        seen = spark.read.schema(met).parquet(folder).select("start", "node")
+        hop += 1
+        step.join(seen, ["start", "node"], "left_anti").write.parquet(f"{folder}/depth={hop}")
+        if spark.read.schema(shape).parquet(f"{folder}/depth={hop}").isEmpty():
+            break
+    return spark.read.schema(met).parquet(folder).filter("depth > 0")
 
 
-def ancestors(parents: DataFrame, levels: int = 16) -> DataFrame:
-    """id, ancestor, depth (0 is the node itself) over parents(id, parent); by doubling, so four joins reach sixteen levels."""
-    up = parents.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    span = 1
-    while span < levels:
+def ancestors(parents: DataFrame) -> DataFrame:
+    """id, ancestor, depth (0 is the node itself) over parents(id, parent). The known span doubles each round, until a round finds nothing."""
+    up = written(parents.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
+    known, found = 0, up.count()
+    while found > known:
         more = up.alias("x").join(up.alias("y"), F.col("x.ancestor") == F.col("y.id")).select("x.id", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        up = up.unionAll(more).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
-        span *= 2
+        up = written(up.unionAll(more).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
+        known, found = found, up.count()
     return parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionAll(up)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -47,7 +47,7 @@ def path_components(changes: DataFrame, follow: bool = True) -> DataFrame:
 
 
 def coupling(touches: DataFrame, targets: DataFrame, alias: DataFrame, dates: DataFrame, max_files: int, examples: int = schemas.EXAMPLE_COMMITS) -> DataFrame:
-    """target, coupled, weight, support, examples: for each target the files that change with it.
+    """target, coupled, weight, support, place and, unless ``examples`` is 0, the newest examples: for each target the files that change with it.
 
     touches(sha, path); targets(target); alias(path, component, canonical); dates(ord, sha, date, message). A commit of n files counts 1/sqrt(n); weight is the share of the
     target's commits, by that count, that touch the other file. All targets go through one join on the commit, with
@@ -61,12 +61,23 @@ def coupling(touches: DataFrame, targets: DataFrame, alias: DataFrame, dates: Da
     with_ = hits.join(touches, "sha").join(names.select("target", F.col("path")), ["target", "path"], "left_anti")
     with_ = with_.join(alias.select("path", "canonical"), "path", "left").withColumn("coupled", F.coalesce("canonical", "path"))
     seen = with_.join(dates.select("ord", "sha", "date", "message"), "sha")
-    short = F.struct("ord", F.substring("sha", 1, 12).alias("sha"), "date", F.substring("message", 1, 120).alias("message"))
-    by = seen.groupBy("target", "coupled").agg(F.sum("w").alias("w"), F.count("*").alias("support"), F.slice(F.array_sort(F.collect_set(short)), 1, examples).alias("examples"))
-    weight = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("w") / F.col("whole"))), 4)
-    out = by.join(whole, "target").select("target", "coupled", weight.alias("weight"), "support", "examples")
+    by = seen.groupBy("target", "coupled").agg(F.sum("w").alias("w"), F.count("*").alias("support"))
+    out = by.join(whole, "target").select("target", "coupled", share(F.col("w"), F.col("whole")).alias("weight"), "support")
     place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("weight"), F.desc("support"), "coupled"))
-    return out.withColumn("place", place).filter(F.col("place") <= max_files)
+    out = out.withColumn("place", place).filter(F.col("place") <= max_files)
+    if not examples:
+        return out
+    # the newest commits of each pair that stays; a rank limits a pair's rows before they are shuffled
+    short = F.struct("ord", F.substring("sha", 1, 12).alias("sha"), "date", F.substring("message", 1, 120).alias("message"))
+    shown = seen.join(out.select("target", "coupled"), ["target", "coupled"], "left_semi").select("target", "coupled", short.alias("c"))
+    newest = F.dense_rank().over(Window.partitionBy("target", "coupled").orderBy("c"))
+    shown = shown.withColumn("n", newest).filter(F.col("n") <= examples).groupBy("target", "coupled").agg(F.array_sort(F.collect_set("c")).alias("examples"))
+    return out.join(shown, ["target", "coupled"]).select("target", "coupled", "weight", "support", "examples", "place")
+
+
+def share(part: Column, whole: Column) -> Column:
+    """part of whole, from 0 to 1, with four places."""
+    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), part / whole)), 4)
 
 
 def history(commits: DataFrame, changes: DataFrame, paths: DataFrame, options: CouplingOptions = CouplingOptions(), existing: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -27,16 +27,27 @@ def shaped(df: DataFrame, part: int, order: list[Column], **columns: Column) ->
     return df.select(F.lit(part).alias("part"), F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in order)).alias("ord"), *(v.alias(k) for k, v in own.items()))
 
 
+def looked_up(given: dict[str, str], key: Column) -> Column:
+    """The value of a key, unknown without one."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in kv))[key], F.lit("unknown"))
+
+
+def edge_surface(kind: Column) -> Column:
+    return looked_up(schemas.EDGE_SURFACE, kind)
+
+
+def edge_risk(kind: Column) -> Column:
+    return looked_up(schemas.EDGE_RISK, kind)
+
+
 def from_structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), F.col("file").alias(f"{p}_file"), F.col("qualified_name").alias(f"{p}_qname"), F.col("name").alias(f"{p}_name"), F.col("kind").alias(f"{p}_kind"))
     e = edges.join(n("t"), F.col("target") == F.col("t_id"), "left").join(n("s"), F.col("source") == F.col("s_id"), "left")
     m, t = text.missing, F.col("type")
-    surface = F.create_map(*(F.lit(x) for kv in schemas.EDGE_SURFACE.items() for x in kv))[t]
-    risk = F.when(t == "inherits", "breaking").when(t.isin("calls", "imports"), "behavior_change").otherwise("unknown")
     return shaped(
         e, 1, [F.col("source"), t, F.col("target"), F.col("id")],
         file=F.coalesce(m(F.col("t_file")), m(F.col("target_file")), F.col("s_file"), F.lit("")), symbol=F.coalesce(m(F.col("t_qname")), m(F.col("target_name")), m(F.col("t_name")), F.col("target")), kind=F.col("t_kind"),
-        impact_risk=risk, impact_surface=F.coalesce(surface, F.lit("unknown")), reason=F.format_string("Tool 1 %s edge from %s", t, F.col("source")), confidence=text.label(F.col("confidence"), schemas.CONFIDENCE_BOUNDS),
+        impact_risk=edge_risk(t), impact_surface=edge_surface(t), reason=F.format_string("Tool 1 %s edge from %s", t, F.col("source")), confidence=text.label(F.col("confidence"), schemas.CONFIDENCE_BOUNDS),
         suggested_action=F.format_string("Review %s dependency", t), corroborated=F.lit(True),
         evidence=evidence(tool=F.lit("tool1_ast"), query_id=F.col("id"), edge_type=t, snippet=F.col("snippet"), detail=F.to_json(F.struct("source", "target", "confidence"))),
     )

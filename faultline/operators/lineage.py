@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import ids
+from ..functions import ids, text
 from ..sources.shared import written
 from .graph import reach
 
@@ -48,16 +48,18 @@ def functions(raw: DataFrame) -> DataFrame:
     return raw.filter("rec = 'func'").select("owner", "name", "qname", "file", "line", "col", "end_line", "ord")
 
 
-def model_classes(raw: DataFrame, levels: int = 6) -> DataFrame:
-    """Classes that descend from a model root by the names of their bases; the last class of a name wins."""
+def model_classes(raw: DataFrame) -> DataFrame:
+    """Classes that descend from a model root, however far, by the names of their bases; the last class of a name wins."""
     classes = raw.filter("rec = 'class'").select("file", "ord", "name", "line", "col", "end_line", F.col("items").alias("bases"))
     by_name = first_by(classes, ["name"], in_order(), last=True).select("name", "bases")
     root = lambda b: b.isin(*schemas.MODEL_ROOTS) | b.endswith("BaseModel")
     by_name = written(by_name, "class-names")
     edges = by_name.select(F.col("name").alias("dst"), F.explode("bases").alias("src"))
     good = by_name.filter(F.exists("bases", root)).select("name")
-    # names that lead to a root: reach from the direct ones over base -> class
-    below = reach(edges, good.select(F.col("name").alias("start")), levels).select(F.col("node").alias("name"))
+    # names that lead to a root: from the roots, as one start, over base -> class
+    above = F.lit("\x01roots").alias("start")
+    tops = good.select(above.alias("src"), F.col("name").alias("dst"))
+    below = reach(edges.select("src", "dst").unionAll(tops), raw.sparkSession.range(1).select(above), None).select(F.col("node").alias("name"))
     good = good.union(below).distinct().select(F.col("name").alias("base"))
     direct = classes.filter(F.exists("bases", root))
     through = classes.withColumn("base", F.explode("bases")).join(good, "base", "left_semi").drop("base").distinct()
@@ -86,8 +88,8 @@ def call_graph(raw: DataFrame, funcs: DataFrame) -> DataFrame:
 def entry_points(wanted: DataFrame, route: DataFrame, funcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Handlers and diagnostics of wanted(pos, anchor): ``route:METHOD /path``, ``symbol:file:name`` or ``symbol:name``."""
     w = wanted.withColumns({
-        "route": F.when(F.col("anchor").startswith("route:"), F.substring("anchor", 7, 10_000)),
-        "symbol": F.when(F.col("anchor").startswith("symbol:"), F.substring("anchor", 8, 10_000)),
+        "route": F.when(F.col("anchor").startswith("route:"), F.expr("substring(anchor, 7)")),
+        "symbol": F.when(F.col("anchor").startswith("symbol:"), F.expr("substring(anchor, 8)")),
     }).withColumns({"in_file": F.when(F.col("symbol").contains(":"), F.regexp_extract("symbol", r"^(.*):([^:]*)$", 1)), "name": F.when(F.col("symbol").contains(":"), F.regexp_extract("symbol", r"^(.*):([^:]*)$", 2)).otherwise(F.col("symbol"))})
     fields = ["pos", "anchor", "file", "qname", "line", "col", "end_line", "confidence", "owner"]
     f_first = first_by(funcs, ["file", "name"], F.col("ord")).select("file", "name", F.col("owner").alias("named"))
@@ -118,10 +120,17 @@ def truncated(sites: DataFrame, limit: int, kinds: tuple[str, str] = ("read", "w
     return ranked.join(F.broadcast(budgets)).filter(F.when(F.col("kind") == first, F.col("place") <= F.col("for_first")).otherwise(F.col("place") <= F.col("for_second"))).drop("place", "for_first", "for_second")
 
 
+def shared_aliases(fields: DataFrame) -> DataFrame:
+    """alias and fields, as text, of fields(alias, owner, name): aliases that more than one field has."""
+    named = fields.filter("alias is not null").select("alias", F.concat_ws(".", "owner", "name").alias("f"))
+    of = named.groupBy("alias").agg(F.array_sort(F.collect_set("f")).alias("of"))
+    return of.filter(F.size("of") > 1).select("alias", F.array_join("of", ", ").alias("fields"))
+
+
 def lineage(raw: DataFrame, field_path: str, anchors: list[str], options: LineageOptions = LineageOptions()) -> dict[str, DataFrame]:
     """entry_points, sites (kind read or write), validations, transforms, diagnostics and stats."""
     spark = raw.sparkSession
-    model_name, _, field = field_path.rpartition(".")
+    model_name, field = text.split_field(field_path)
     path, name = F.lit(field_path), F.lit(field)
     funcs = written(functions(raw), "functions")
     wanted = spark.createDataFrame(list(enumerate(anchors)), "pos int, anchor string")
@@ -177,8 +186,8 @@ def lineage(raw: DataFrame, field_path: str, anchors: list[str], options: Lineag
         "file", "line", "col", "end_line", "end_col", symbol.alias("enclosing_symbol_id"), F.lit("medium").alias("confidence"),
     )
     transforms = first_by(transforms, ["id"], F.struct("file", "line", "col"))
-    shared = fields.filter(F.col("extra")["alias"].isNotNull()).groupBy(F.col("extra")["alias"].alias("alias")).agg(F.array_sort(F.collect_set(F.concat_ws(".", "owner", "name"))).alias("of")).filter(F.size("of") > 1)
-    diagnostics = diagnostics.drop("pos").unionByName(shared.select(F.lit("warning").alias("severity"), F.lit("alias_ambiguous").alias("code"), F.format_string("Alias '%s' is shared by multiple fields: %s", "alias", F.array_join("of", ", ")).alias("message")))
+    shared = shared_aliases(fields.select(F.col("extra")["alias"].alias("alias"), "owner", "name"))
+    diagnostics = diagnostics.drop("pos").unionByName(shared.select(F.lit("warning").alias("severity"), F.lit("alias_ambiguous").alias("code"), F.format_string("Alias '%s' is shared by multiple fields: %s", "alias", "fields").alias("message")))
     total = sites.agg(F.count("*").alias("total"))
     over = total.filter(F.col("total") > options.max_sites).select(F.lit("info").alias("severity"), F.lit("lineage_truncated").alias("code"), F.format_string(f"Output truncated to {options.max_sites} sites (total found: %d)", "total").alias("message"))
     kept = truncated(sites, options.max_sites)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -13,6 +13,10 @@ from ..sources.shared import written
 from .graph import reach
 
 
+#: Names of impacted nodes (a few bytes each) up to which they are broadcast.
+BROADCAST_NAMES = 1_000
+
+
 @dataclass(frozen=True)
 class SelectionOptions:
     max_tests: int = 10
@@ -67,9 +71,14 @@ def reasons(impacted: DataFrame, imports: DataFrame, symbols: DataFrame, refs: D
     return all_.dropDuplicates(["file", "type", "evidence"])
 
 
+def capped(score: Column) -> Column:
+    """A score, at most 1."""
+    return F.least(F.lit(1.0), score)
+
+
 def ranked(items: DataFrame, why: DataFrame, max_tests: int) -> DataFrame:
     """items(nodeid, file) with score, rank, confidence and reasons; only those with a reason, best first."""
-    score = why.groupBy("file").agg(F.least(F.lit(1.0), F.sum("weight")).alias("score"), F.array_sort(F.collect_list(F.struct("type", "evidence"))).alias("reasons")).filter("score > 0")
+    score = why.groupBy("file").agg(capped(F.sum("weight")).alias("score"), F.array_sort(F.collect_list(F.struct("type", "evidence"))).alias("reasons")).filter("score > 0")
     place = F.row_number().over(Window.orderBy(F.desc("score"), "file", "nodeid"))
     # a global rank over tests that have a reason; limit first, so the window sees max_tests rows
     best = items.join(score, "file").orderBy(F.desc("score"), "file", "nodeid").limit(max_tests)
@@ -77,11 +86,23 @@ def ranked(items: DataFrame, why: DataFrame, max_tests: int) -> DataFrame:
 
 
 def unmatched(impacted: DataFrame, why: DataFrame, any_tests: DataFrame) -> DataFrame:
-    """Impacted nodes that no reason's text names. any_tests: has a row if there are test files."""
-    n = impacted.select("file", "symbol", text.module_of(F.col("file")).alias("module")).distinct()
+    """Impacted nodes that no reason's text names. any_tests: has a row if there are test files.
+
+    One pass over the texts finds the names that stand in one; nodes are then left out by equi joins. Up to ``BROADCAST_NAMES`` names are broadcast
+    and looked for in each text; beyond that texts are cut into their parts of the lengths that names have, which meet the names by key.
+    """
+    n = impacted.select("file", text.missing(F.col("symbol")).alias("symbol"), "symbol", text.module_of(F.col("file")).alias("module")).distinct()
+    n = n.toDF("file", "wanted", "symbol", "module")
+    names = written(n.select(F.explode(F.array("module", "wanted")).alias("name")).filter("name is not null").distinct(), "names")
     texts = why.select("evidence").distinct()
-    named = F.col("evidence").contains(F.col("module")) | (F.coalesce("symbol", F.lit("")) != "") & F.col("evidence").contains(F.col("symbol"))
-    lost = n.join(texts, named, "left_anti")
+    if names.count() <= BROADCAST_NAMES:
+        named = texts.join(F.broadcast(names), F.col("evidence").contains(F.col("name"))).select("name").distinct()
+    else:
+        sizes = F.broadcast(names.select(F.length("name").alias("size")).distinct())
+        cut = F.when(F.length("evidence") >= F.col("size"), F.transform(F.sequence(F.lit(1), F.length("evidence") - F.col("size") + 1), lambda k: F.substring("evidence", k, F.col("size"))))
+        named = names.join(texts.join(sizes).select(F.explode(cut).alias("name")).distinct(), "name", "left_semi")
+    named = written(named, "named")
+    lost = n.join(named.select(F.col("name").alias("module")), "module", "left_anti").join(named.select(F.col("name").alias("wanted")), "wanted", "left_anti")
     has = any_tests.limit(1).select(F.lit("no_test_reference").alias("reason"))
     return lost.join(has, how="left").select("file", "symbol", F.coalesce("reason", F.lit("test_discovery_empty")).alias("reason"))
 

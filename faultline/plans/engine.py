@@ -59,6 +59,23 @@ def validated(tool: str, inputs: dict) -> dict:
     return inputs
 
 
+def parsed(request: str | dict) -> dict:
+    """A request given as JSON text or as a dict."""
+    if isinstance(request, str):
+        try:
+            request = json.loads(request)
+        except ValueError as e:
+            raise ValueError(f"request is no JSON: {e}") from e
+    if not isinstance(request, dict):
+        raise ValueError("request is no object")
+    return request
+
+
+def failure(tool: str, e: Exception) -> dict:
+    """The record of a request that failed."""
+    return {"schema_version": SCHEMA_VERSION, "tool_name": tool, "run_id": "error", "query_id": "error", "cached": False, "timing_ms": 0, "result": {}, "errors": [{"code": "validation_error", "message": str(e), "retryable": False}]}
+
+
 class Engine:
     """Analyses of one repository given as files(path, content) and, for couplings, commits and changes."""
 
@@ -134,7 +151,39 @@ class Engine:
                 self.cache.store_result(cache_key=key, tool_name=tool, query_id=query, run_id=run, repo_fingerprint_hash=self.fingerprint, request_json=text, response_json=json.dumps(out), timing_ms=out["timing_ms"])
             return out
         except Exception as e:
-            return {"schema_version": SCHEMA_VERSION, "tool_name": tool, "run_id": "error", "query_id": "error", "cached": False, "timing_ms": 0, "result": {}, "errors": [{"code": "validation_error", "message": str(e), "retryable": False}]}
+            return failure(tool, e)
+
+    def respond(self, tool: str, request: str | dict) -> str:
+        """An endpoint: a request as JSON text or as a dict, with inputs and, if given, intent, anchors and diff; the response as JSON text. What cannot be read gives an error record."""
+        try:
+            r = parsed(request)
+        except ValueError as e:
+            return json.dumps(failure(tool, e), ensure_ascii=False)
+        return json.dumps(self.request(tool, r.get("inputs") or {}, r.get("intent") or "", r.get("anchors") or [], r.get("diff") or ""), ensure_ascii=False)
+
+    def respond_structure(self, request: str | dict) -> str:
+        return self.respond("structure", request)
+
+    def respond_lineage(self, request: str | dict) -> str:
+        return self.respond("lineage", request)
+
+    def respond_neighbors(self, request: str | dict) -> str:
+        return self.respond("neighbors", request)
+
+    def respond_coupling(self, request: str | dict) -> str:
+        return self.respond("coupling", request)
+
+    def respond_tests(self, request: str | dict) -> str:
+        return self.respond("tests", request)
+
+    def respond_all(self, requests: DataFrame) -> DataFrame:
+        """request_id and response of requests(request_id, tool_name, request), one after the other, as each is a job of its own."""
+        done = [(r.request_id, self.respond(r.tool_name, r.request)) for r in requests.select("request_id", "tool_name", "request").toLocalIterator()]
+        return self.spark.createDataFrame(done, f"request_id {requests.schema['request_id'].dataType.simpleString()}, response string")
+
+    def probe(self) -> dict[str, bool]:
+        """What can be used here: the parser, a provider of embeddings, a history, and tests."""
+        return {"parser": extract.parser_available(), "embeddings": self.vectors is not None and self.embed is not None, "history": self.commits is not None, "tests": not testsel.discover(self.tree, self.configured_tests).isEmpty()}
 
     def candidates(self, results: dict[str, dict[str, DataFrame]], change: intents.Change) -> DataFrame:
         """Merged and refined candidates of the results at hand."""

@@ -8,33 +8,40 @@ from dataclasses import dataclass, field
 
 from .. import schemas
 from ..functions import ids
+from ..functions import text as text_patterns
 
 # Keywords of operations and entities, in the order in which they are tried, and words that name nothing.
 OPERATIONS = [
-    ("remove", "remove delete"),
-    ("rename", "rename"),
-    ("add", "add new create"),
-    ("type_change", "type retype"),
-    ("relax", "relax optional"),
-    ("tighten", "tighten required strict"),
-    ("refactor", "refactor signature"),
+    ("remove", ("remove", "delete")),
+    ("rename", ("rename",)),
+    ("add", ("add", "new", "create")),
+    ("type_change", ("type", "retype")),
+    ("relax", ("relax", "optional")),
+    ("tighten", ("tighten", "required", "strict")),
+    ("refactor", ("refactor", "signature")),
 ]
 ENTITIES = [
-    ("field", "api_change", "field payload request response"),
-    ("validator", "behavior_change", "validation validator"),
-    ("route", None, "route endpoint api"),
-    ("schema", None, "schema model"),
-    ("module", None, "module package"),
-    ("function", None, "function method def"),
+    ("field", "api_change", ("field", "payload", "request", "response")),
+    ("validator", "behavior_change", ("validation", "validator")),
+    ("route", None, ("route", "endpoint", "api")),
+    ("schema", None, ("schema", "model")),
+    ("module", None, ("module", "package")),
+    ("function", None, ("function", "method", "def")),
 ]
 FILLER = (
-    "the a an from to in of for is and or it this that with on at by as be are was were been will would should can could may might do does did has have had not but if than then so "
-    "remove delete rename add new change type relax optional tighten required strict refactor signature field payload request response validation validator route endpoint api make update modify get set"
-).split()
-FIELD_FILLER = "the a an from to in of for is remove delete rename add new change type relax optional tighten required strict make update modify".split()
-HTTP = re.compile(r"\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/\S+)", re.I)
-DOTTED = re.compile(r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b")
-NAME = re.compile(r"\b[A-Za-z_]\w+\b")
+    "the", "a", "an", "from", "to", "in", "of", "for", "is", "and", "or", "it", "this", "that", "with", "on", "at", "by", "as", "be", "are", "was",
+    "were", "been", "will", "would", "should", "can", "could", "may", "might", "do", "does", "did", "has", "have", "had", "not", "but", "if", "than",
+    "then", "so", "remove", "delete", "rename", "add", "new", "change", "type", "relax", "optional", "tighten", "required", "strict", "refactor",
+    "signature", "field", "payload", "request", "response", "validation", "validator", "route", "endpoint", "api", "make", "update", "modify", "get",
+    "set",
+)
+FIELD_FILLER = (
+    "the", "a", "an", "from", "to", "in", "of", "for", "is", "remove", "delete", "rename", "add", "new", "change", "type", "relax", "optional",
+    "tighten", "required", "strict", "make", "update", "modify",
+)
+HTTP = re.compile(text_patterns.ROUTE, re.I)
+DOTTED = re.compile(text_patterns.DOTTED)
+NAME = re.compile(text_patterns.NAME)
 SCOPED = ("remove", "add", "type_change", "relax", "tighten")
 
 
@@ -63,7 +70,7 @@ def http_route(text: str) -> str | None:
 
 
 def _keyword(text: str, table: list[tuple]) -> tuple | None:
-    return next((row for row in table if any(w in text for w in row[-1].split())), None)
+    return next((row for row in table if any(w in text for w in row[-1])), None)
 
 
 def _name_in_diff(diff: str) -> str | None:
@@ -79,7 +86,7 @@ def normalize(intent: str, anchors: list[str] = (), diff: str = "") -> Change:
     low = intent.lower()
     found = _keyword(low, OPERATIONS)
     operation = found[0] if found else "refactor"
-    kind, cls, _ = _keyword(low, ENTITIES) or ("function", None, "")
+    kind, cls, _ = _keyword(low, ENTITIES) or ("function", None, ())
     cls = cls or "structural_change"
     if operation in ("relax", "tighten") and cls == "structural_change":
         cls, kind = "api_change", "field" if kind == "function" else kind

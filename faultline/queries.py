@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -40,11 +40,11 @@ h as (select t.path as target, t.sha, n.w from t join n using (sha)), whole as (
 p as (select h.target, t.path as coupled, h.sha, h.w from h join t on t.sha = h.sha and t.path <> h.target)"""
 
 
-def _coupling(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+def _coupling(spark: SparkSession, sf_dir: str, top: int, examples: int = schemas.EXAMPLE_COMMITS) -> DataFrame:
     touches = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_suppkey").alias("path")).distinct()
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("message"))
     none = spark.createDataFrame([], "path bigint, component bigint, canonical bigint")
-    return history.coupling(touches, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target")), none, dates, top)
+    return history.coupling(touches, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target")), none, dates, top, examples)
 
 
 @query(f"""with {_PAIRS}, c as (select target, coupled, round_even(least(1.0, sum(w) / any_value(whole)), 4) as weight, count(*) as support from p join whole using (target) group by target, coupled),
@@ -52,7 +52,7 @@ r as (select *, row_number() over (partition by target order by weight desc, sup
 select target, coupled, weight, support, place from r where place <= 20""")
 def op_g10_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-change weights of all suppliers over orders as commits."""
-    return _coupling(spark, sf_dir, 20).select("target", "coupled", "weight", "support", F.col("place").cast("long").alias("place"))
+    return _coupling(spark, sf_dir, 20, 0).select("target", "coupled", "weight", "support", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""with {_PAIRS}, c as (select target, coupled, count(*) as support, list(sha order by sha)[1:3] as shas, sum(w) as s from p where sha in (select o_orderkey from orders) group by target, coupled)
@@ -63,14 +63,25 @@ def op_g12_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("target", "coupled", "support", F.array_join(F.transform("examples", lambda x: x["sha"]), ",").alias("examples"))
 
 
-@query("""select count(distinct o_orderkey) as commits, count(distinct l_orderkey) as commits_used, min(strftime(o_orderdate, '%Y-%m-%d')) || ' to ' || max(strftime(o_orderdate, '%Y-%m-%d')) as date_range,
-count(distinct l_suppkey) as files_in_history from orders left join lineitem on l_orderkey = o_orderkey""")
+def _history(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Orders as commits, lines as changes; every third line is a rename from its part. Targets: three suppliers, one of them nowhere in the tree."""
+    k = F.col("o_orderkey")
+    commits = table(spark, sf_dir, "orders").select(k.alias("ord"), k.cast("string").alias("sha"), F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("message"))
+    moved = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("p"), "l_partkey"))
+    changes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("sha"), F.when(moved.isNull(), "M").otherwise("R").alias("status"), F.concat(F.lit("s"), "l_suppkey").alias("path"), moved.alias("old_path"))
+    paths = spark.createDataFrame([(0, "s1"), (1, "s2"), (2, "gone")], "pos int, target string")
+    existing = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("path"))
+    return history.history(commits, changes, paths, history.CouplingOptions(window_commits=20_000, max_commit_size=5), existing)
+
+
+@query("""with c as (select * from orders order by o_orderkey limit 20000), l as (select * from lineitem where l_orderkey in (select o_orderkey from c)),
+u as (select l_orderkey from l group by 1 having count(*) <= 5)
+select (select count(*) from c) as commits_scanned, (select count(*) from u) as commits_used, (select count(*) from l where l_orderkey in (from u) and l_linenumber % 3 = 0) as renames_followed,
+(select min(strftime(o_orderdate, '%Y-%m-%d')) || ' to ' || max(strftime(o_orderdate, '%Y-%m-%d')) from c where o_orderkey in (from u)) as date_range,
+(select count(distinct p) from (select 's' || l_suppkey as p from l where l_orderkey in (from u) union all select 'p' || l_partkey from l where l_orderkey in (from u) and l_linenumber % 3 = 0)) as files_in_history""")
 def op_g13_history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G13, C14, U02."""
-    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    j = o.join(l, o.o_orderkey == l.l_orderkey, "left")
-    day = F.substring(F.col("o_orderdate").cast("string"), 1, 10)
-    return j.agg(F.countDistinct("o_orderkey").alias("commits"), F.countDistinct("l_orderkey").alias("commits_used"), F.concat_ws(" to ", F.min(day), F.max(day)).alias("date_range"), F.countDistinct("l_suppkey").alias("files_in_history"))
+    """The stats of a history in which every third change is a rename."""
+    return _history(spark, sf_dir)["stats"]
 
 
 @query("select l_orderkey as sha, count(*) as n from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having count(*) <= 5")
@@ -213,16 +224,15 @@ def op_g22_symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.symbol_index(p).select("qualified_name", "ord", F.col("place").cast("long").alias("place"))
 
 
-@query("select p_type as alias, string_agg(distinct p_brand, ', ' order by p_brand) as fields from part group by 1 having count(distinct p_brand) > 1")
+@query("select p_type as alias, string_agg(distinct p_brand || '.' || p_size, ', ' order by p_brand || '.' || p_size) as fields from part group by 1 having count(distinct p_brand || '.' || p_size) > 1")
 def op_j24_shared_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases of more than one field."""
-    g = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("alias")).agg(F.array_sort(F.collect_set("p_brand")).alias("f")).filter(F.size("f") > 1)
-    return g.select("alias", F.array_join("f", ", ").alias("fields"))
+    return lineage.shared_aliases(table(spark, sf_dir, "part").select(F.col("p_type").alias("alias"), F.col("p_brand").alias("owner"), F.col("p_size").cast("string").alias("name")))
 
 
 # --- test selection ----------------------------------------------------------------------------------------------------
 
-_REASONS = """n as (select distinct 'm' || p_partkey as module, case when p_size < 10 then 'R' else 'A' end as symbol, case when p_size % 2 = 1 then 'field' else 'function' end as kind from part where p_retailprice < 905),
+_REASONS = """n as (select distinct 'm' || p_partkey as module, case when p_size < 10 then 'R' else 'A' end as symbol, case when p_size % 2 = 1 then 'field' else 'function' end as kind from part),
 i as (select distinct 's' || l_suppkey as file, 'm' || l_partkey as module from lineitem), f as (select distinct 's' || l_suppkey as file, l_returnflag as name from lineitem), t as (select distinct 's' || l_suppkey as file, case when l_linestatus = 'O' then 'R' else 'x' end as name from lineitem),
 y as (select distinct 's' || l_suppkey as file, 'm' || l_partkey as module, l_returnflag as name from lineitem),
 w as (select distinct file, 'direct_import' as type, 'imports ' || module as evidence, 1.0 as weight from i join n using (module)
@@ -233,7 +243,7 @@ union all select distinct file, 'field_literal_match', 'string literal "' || nam
 
 def _reasons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     l = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("file"), F.concat(F.lit("m"), "l_partkey").alias("module"), "l_returnflag", "l_linestatus")
-    p = table(spark, sf_dir, "part").filter("p_retailprice < 905")
+    p = table(spark, sf_dir, "part")
     impacted = p.select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("file"), F.when(F.col("p_size") < 10, "R").otherwise("A").alias("symbol"), F.when(F.col("p_size") % 2 == 1, "field").otherwise("function").alias("kind"))
     literals = l.select("file", F.when(F.col("l_linestatus") == "O", "R").otherwise("x").alias("name")).distinct()
     why = testsel.reasons(impacted, l.select("file", "module").distinct(), l.select("file", "module", F.col("l_returnflag").alias("name")).distinct(), l.select("file", F.col("l_returnflag").alias("name")).distinct(), literals, None, testsel.SelectionOptions())
@@ -243,7 +253,7 @@ def _reasons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 @query(f"with {_REASONS} select file, type, evidence, weight::double as weight from w")
 def op_j17_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons by which suppliers meet cheap parts."""
+    """Reasons by which suppliers meet parts."""
     return _reasons(spark, sf_dir)[1]
 
 
@@ -255,10 +265,15 @@ def op_g17_ranked_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testsel.ranked(items, why, 10).select("nodeid", "file", "score", "rank", "confidence", F.size("reasons").cast("long").alias("n_reasons"))
 
 
-@query(f"""with {_REASONS}, e as (select distinct evidence from w) select module || '.py' as file, symbol, 'no_test_reference' as reason from (select distinct module, symbol from n) n where not exists (select 1 from e where contains(e.evidence, n.module) or contains(e.evidence, n.symbol))""")
+@query(f"""with {_REASONS},
+e as (select distinct evidence from w), c as (select 'm' || 2 * c_custkey as module, case c_custkey % 5 when 0 then 'R' when 1 then null when 2 then '' else 'q' || c_nationkey end as symbol from customer)
+select module || '.py' as file, symbol, 'no_test_reference' as reason from c where not exists (select 1 from e where contains(e.evidence, c.module)) and not exists (select 1 from e where c.symbol <> '' and contains(e.evidence, c.symbol))""")
 def op_f11_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """impacted nodes that no reason names."""
-    impacted, why, items = _reasons(spark, sf_dir)
+    """customers as impacted nodes that no reason of the parts' names."""
+    _, why, items = _reasons(spark, sf_dir)
+    k = F.col("c_custkey")
+    symbol = F.when(k % 5 == 0, "R").when(k % 5 == 2, "").when(k % 5 > 2, F.concat(F.lit("q"), "c_nationkey"))
+    impacted = table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), (2 * k).cast("string"), F.lit(".py")).alias("file"), symbol.alias("symbol"))
     return testsel.unmatched(impacted, why, items)
 
 
@@ -378,38 +393,31 @@ def op_f18_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.label(d * 10, schemas.CONFIDENCE_BOUNDS).alias("confidence"), F.format_string("weight=%.2f, support=%d", d, F.col("l_linenumber")).alias("reason"))
 
 
-@query("""select conv_id, turn, coalesce(last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row), -1) as header from conversations""")
+@query("""with l as (select conv_id, turn, max(case when role = 'user' then turn end) over (partition by conv_id order by turn rows between unbounded preceding and current row) as head, role from conversations)
+select conv_id, lpad(head::varchar, 40, '0') as sha, 'f' || turn || '.py' as path from l where role <> 'user' and head is not null""")
 def op_w05_running_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last header carried on."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w), F.lit(-1)).alias("header"))
+    """Many logs at once, in which a user's turn is a header and every other turn a change."""
+    turn = F.col("turn").cast("string")
+    line = F.when(F.col("role") == "user", F.concat(F.lpad(turn, 40, "0"), F.lit("|2025-01-01|m"))).otherwise(F.concat(F.lit("M\tf"), turn, F.lit(".py")))
+    return historylog.parse(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("place"), line.alias("line")), "conv_id")[1].select("conv_id", "sha", "path")
 
 
-@query("""select user_id, event_id, coalesce(sum(case when event_type in ('view', 'click') then 1 else 0 end) over w, 0)::bigint as old_line, coalesce(sum(case when event_type in ('view', 'purchase') then 1 else 0 end) over w, 0)::bigint as new_line from events window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)""")
+@query("""with e as (select *, coalesce(sum(case when event_type in ('view', 'click') then 1 else 0 end) over w, 0)::bigint as old, coalesce(sum(case when event_type in ('view', 'purchase') then 1 else 0 end) over w, 0)::bigint as new from events window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding))
+select user_id, case event_type when 'click' then '-' else '+' end as change, (case event_type when 'click' then 10 + old else 20 + new end)::int as number, event_id::varchar as content from e where event_type in ('click', 'purchase')""")
 def op_w06_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running counts of kinds of lines."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    n = lambda *k: F.coalesce(F.sum(F.col("event_type").isin(*k).cast("int")).over(w), F.lit(0))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", n("view", "click").alias("old_line"), n("view", "purchase").alias("new_line"))
+    """Many diffs at once, each of one hunk: a view is a line that stays, a click one that goes, a purchase one that comes; others are remarks."""
+    kind = F.when(F.col("event_type") == "view", " ").when(F.col("event_type") == "click", "-").when(F.col("event_type") == "purchase", "+").otherwise("\\")
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("bigint").alias("place"), F.concat(kind, F.col("event_id").cast("string")).alias("line"))
+    head = F.array(*(F.struct(F.lit(k - 3).cast("bigint").alias("place"), F.lit(t).alias("line")) for k, t in enumerate(["--- a/x.py", "+++ b/x.py", "@@ -10,1 +20,1 @@"])))
+    lines = e.unionByName(e.select("user_id").distinct().select("user_id", F.inline(head)))
+    return diffs.diff_lines(lines, "user_id").select("user_id", "change", "number", "content")
 
 
-@query("""select n_nationkey as k, 'customer only' as side from nation where n_nationkey in (select c_nationkey from customer except select s_nationkey from supplier) union all select n_nationkey, 'both' from nation where n_nationkey in (select c_nationkey from customer intersect select s_nationkey from supplier)
-union all select n_nationkey, 'neither' from nation where n_nationkey not in (select c_nationkey from customer union select s_nationkey from supplier)""")
+@query("""select l_orderkey as sha, l_suppkey::varchar as path from lineitem union select l_orderkey, 'p' || l_partkey from lineitem where l_linenumber % 3 = 0""")
 def op_u03_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, semi and anti joins."""
-    n, c, s = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
-    c, s = c.select(F.col("c_nationkey").alias("k")).distinct(), s.select(F.col("s_nationkey").alias("k")).distinct()
-    k = n.select(F.col("n_nationkey").alias("k"))
-    parts = [(k.join(c, "k", "left_semi").join(s, "k", "left_anti"), "customer only"), (k.join(c, "k", "left_semi").join(s, "k", "left_semi"), "both"), (k.join(c.union(s), "k", "left_anti"), "neither")]
-    return lineage.union_all([df.withColumn("side", F.lit(name)) for df, name in parts])
-
-
-@query("select c_custkey, coalesce(n.n_name, 'none') as nation, coalesce(s.n, 0) as suppliers from customer left join nation n on n.n_nationkey = c_nationkey left join (select s_nationkey, count(*) as n from supplier where s_acctbal > 0 group by 1) s on s.s_nationkey = c_nationkey")
-def op_j25_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups with defaults."""
-    s = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n"))
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return table(spark, sf_dir, "customer").join(n, "c_nationkey", "left").join(s, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("none")).alias("nation"), F.coalesce("n", F.lit(0)).alias("suppliers"))
+    """The paths of each commit, those before a rename among them."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_suppkey").cast("string").alias("path"), F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("p"), "l_partkey")).alias("old_path"))
+    return history.touched(l)
 
 
 @query("""with t as (select distinct l_orderkey as sha, l_suppkey as path from lineitem), n as (select sha, 1 / sqrt(count(*)) as w from t group by sha),
@@ -527,12 +535,6 @@ def op_a40_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, files.inline(spark, PROJECT)).tests([{"file": "models.py", "symbol": "name", "kind": "field"}])["tests"].select("nodeid", "score", "confidence")
 
 
-@query(None)
-def op_a37_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks like a query."""
-    return Engine(spark, files.inline(spark, PROJECT)).neighbors("load user data name", min_score=0.0, mode="bm25")["neighbors"]
-
-
 LOG = "{0}|2025-01-02T10:00:00+00:00|second | part\n\nM\tb.py\nR090\ta.py\tc.py\nX\tz\n{1}|2025-01-01T10:00:00+00:00|first\twith tab\nA\ta.py\nC100\ta.py\tb.py\n".format("a" * 40, "b" * 40)
 
 
@@ -570,13 +572,6 @@ def op_o07_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s.priority, s.tool) for s in steps], "priority int, tool string")
 
 
-@query(None)
-def op_o11_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run, from intent to report, line by line."""
-    out = Engine(spark, files.inline(spark, PROJECT)).run("Remove User.name from POST /users", ["service.py"])
-    return spark.createDataFrame(list(enumerate(out.splitlines())), "place int, line string")
-
-
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

@@ -27,9 +27,11 @@ NORMALIZERS = ("lower", "upper", "strip", "lstrip", "rstrip", "replace", "encode
 FIELD_CALLS = ("Field", "pydantic.Field")
 MODEL_ROOTS = ("BaseModel", "pydantic.BaseModel", "BaseSettings", "pydantic.BaseSettings")
 CONSTRAINTS = ("ge", "gt", "le", "lt", "min_length", "max_length", "regex", "pattern", "multiple_of", "strict")
-STOPWORDS = tuple(
-    "the a an is are was were be been being have has had do does did will would could should may might shall can to of in for on with at by from as into through during "
-    "before after above below between and but or not no if then else this that it its self def class return import none true false".split()
+STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "and", "but", "or", "not", "no", "if", "then", "else", "this", "that", "it", "its", "self", "def", "class",
+    "return", "import", "none", "true", "false",
 )
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESULTS = "cache_key string, tool_name string, query_id string, run_id string, repo_fingerprint_hash string, request_json string, response_json string, timing_ms int, created_at string"
@@ -18,6 +18,22 @@ def now() -> str:
     return dt.datetime.now(dt.timezone.utc).isoformat()
 
 
+def expired(created: Column, days: int) -> Column:
+    """Whether a time (of any type that casts to a timestamp) lies more than so many days back."""
+    return created.cast("timestamp") < F.current_timestamp() - F.make_dt_interval(F.lit(days))
+
+
+def evicted(rows: DataFrame, max_age_days: int, max_size_mb: float) -> DataFrame:
+    """Of rows(cache_key, created_at, size) those that go: too old, or, newest first, beyond the size. Sizes are summed by day first, so the running sum over days is short and each day's rows are in one place."""
+    live = F.when(expired(F.col("created_at"), max_age_days), 0).otherwise(F.col("size"))
+    r = rows.withColumns({"live": live, "at": F.col("created_at").cast("timestamp")}).withColumn("day", F.to_date("at"))
+    newer = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = r.groupBy("day").agg(F.sum("live").alias("n")).select("day", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("before"))
+    inside = F.sum("live").over(Window.partitionBy("day").orderBy(F.desc("at"), "cache_key").rowsBetween(Window.unboundedPreceding, 0))
+    kept = r.join(days, r["day"].eqNullSafe(days["day"])).drop(days["day"]).withColumn("kept", F.col("before") + inside)
+    return kept.filter(expired(F.col("created_at"), max_age_days) | (F.col("kept") > max_size_mb * 1_000_000)).select(*rows.columns)
+
+
 class ResultCache:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -67,13 +83,9 @@ class ResultCache:
 
     def clean(self, max_age_days: int = 30, max_size_mb: float = 500.0) -> int:
         """Remove results older than the age, then the oldest until the rest fits the size. The running size is over keys and sizes, not responses."""
-        from pyspark.sql import Window
-
         size = F.length("response_json") + F.length("request_json")
         rows = self.table("results").select("cache_key", "created_at", size.alias("size"))
-        limit = (dt.datetime.now(dt.timezone.utc) - dt.timedelta(days=max_age_days)).isoformat()
-        kept = F.sum(F.when(F.col("created_at") >= limit, F.col("size")).otherwise(0)).over(Window.orderBy(F.desc("created_at"), "cache_key").rowsBetween(Window.unboundedPreceding, 0))
-        gone = rows.withColumn("kept", kept).filter((F.col("created_at") < limit) | (F.col("kept") > max_size_mb * 1_000_000))
+        gone = evicted(rows, max_age_days, max_size_mb)
         n = 0
         for r in gone.select("cache_key").toLocalIterator():
             p, fs = self._fs(f"{self.root}/results/{r.cache_key}")

@@ -20,13 +20,18 @@ def excluded(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str, exclude: bool = True) -> DataFrame:
-    """All *.py under a root, through Spark's reader; sorted by path."""
+    """path and content of all *.py under a root, through Spark's reader. Contents are not sorted; ``listed`` gives the order of a scan."""
     base = root.rstrip("/")
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(base)
     prefix = re.sub(r"^[a-z0-9+.-]+:/*", "/", base)
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9+.-]+:/*", "/"), "^" + re.escape(os.path.abspath(prefix)) + "/?", "")
     out = f.select(path.alias("path"), "content")
-    return (out.filter(~excluded(F.col("path"))) if exclude else out).orderBy("path")
+    return out.filter(~excluded(F.col("path"))) if exclude else out
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """Paths, each once, in their order; contents stay where they are."""
+    return files.select("path").distinct().orderBy("path")
 
 
 def inline(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
@@ -36,10 +41,9 @@ def inline(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
 
 def safe_path(root: str, relative: str) -> str:
     """The full path of a file inside root; ValueError outside, FileNotFoundError where there is none."""
-    base = os.path.realpath(root)
-    full = os.path.realpath(os.path.join(base, relative))
-    if os.path.commonpath([base, full]) != base:
+    if not inside(root, relative):
         raise ValueError(f"{relative} lies outside the repository")
+    full = os.path.realpath(os.path.join(root, relative))
     if not os.path.isfile(full):
         raise FileNotFoundError(relative)
     return full
@@ -100,6 +104,12 @@ def configured_tests(root: str) -> list[str] | None:
     return found or ini("setup.cfg", "tool:pytest")
 
 
+def inside(root: str, relative: str) -> bool:
+    """Whether a path stays under root when all its steps and links are followed."""
+    base = os.path.realpath(root)
+    return os.path.commonpath([base, os.path.realpath(os.path.join(base, relative))]) == base
+
+
 def fingerprint(files: DataFrame, head: str | None = None, dirty: bool = True) -> DataFrame:
     """One row: content, git_head, dirty, fingerprint_hash."""
     from ..functions import ids

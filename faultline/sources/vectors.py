@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,6 +12,23 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval
 
+WORD = re.compile(r"[a-z_][a-z0-9_]*")
+
+
+def hashed(size: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """A provider that needs no network: counts of a text's words, dealt to ``size`` slots by their crc32."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [0.0] * size
+            for w in WORD.findall(t.lower()):
+                v[zlib.crc32(w.encode()) % size] += 1.0
+            out.append(v)
+        return out
+
+    return embed
+
 
 class VectorIndex:
     """chunk_id and embedding under root/fingerprint=..; ``embed`` maps a list of texts to a list of vectors and is called in batches on the executors."""

@@ -6,11 +6,12 @@ import duckdb
 import pandas as pd
 import pytest
 
+from faultline import coverage  # noqa: F401  registers its queries
 from faultline import queries
 
 SF = "/root/testdata/sf0.001"
 #: Whole engine runs over the inline project; test_engine.py covers what they do.
-LONG = {"op_g05_sites", "op_a29_transforms", "op_a40_tests", "op_j05_import_edges", "op_j02_call_edges", "op_a37_neighbors", "op_o11_report"}
+LONG = {"op_g05_sites", "op_a29_transforms", "op_a40_tests", "op_j05_import_edges", "op_j02_call_edges", "op_a37_neighbors", "op_o11_report", "op_o38_requests", "op_f05_switches", "op_g19_stats", "op_t01_structure_order", "op_t02_lineage_order", "op_g03_model_chain", "op_g05_call_chain", "op_g05_forty_sites", "op_j05_forty_edges", "op_x08_search_notes", "op_f20_missing_targets", "op_g13_history_stats"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import ids, text
-from faultline.operators import impact, retrieval
+from faultline.operators import graph, impact, retrieval, testsel
 from faultline.operators.extract import module_name, scan_text
 from faultline.plans import intent
 from faultline.plans.settings import JsonLines, settings
@@ -27,7 +27,7 @@ def test_ids(spark):
     assert ids.diff_hash("a\r\nb\r") == ids.diff_hash("a\nb\n") and ids.normalized_intent("  A \n b ") == "a b"
 
 
-@pytest.mark.parametrize("path,want", [("./a//b.py", "a/b.py"), ("a\\b.py", "a/b.py"), ("a/../b/c.py", "b/c.py"), ("a/./b.py", "a/b.py"), ("a/", "a"), (" x.py ", "x.py")])
+@pytest.mark.parametrize("path,want", [("./a//b.py", "a/b.py"), ("a\\b.py", "a/b.py"), ("a/../b/c.py", "b/c.py"), ("a/./b.py", "a/b.py"), ("a/", "a"), (" x.py ", "x.py"), ("a/b/c/d/e/f/g/h/i/j/" + "../" * 10 + "x.py", "x.py"), ("a/b/../../../x.py", "../x.py"), ("../../x", "../../x"), ("/../a/./x", "/a/x"), ("a/..", "."), ("", "")])
 def test_paths(spark, path, want):
     assert one(spark, p=text.normal_path(F.lit(path))).p == want
 
@@ -37,6 +37,40 @@ def test_modules(spark, path, want):
     assert module_name(path) == want and one(spark, m=text.module_of(F.lit(path))).m == want
 
 
+def test_ancestors_of_a_long_chain(spark):
+    got = graph.ancestors(spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "id int, parent int")).collect()
+    assert sorted((r.id, r.ancestor, r.depth) for r in got) == [(i, j, i - j) for i in range(40) for j in range(i + 1)]
+
+
+def test_reach_reads_the_same_tables_each_hop(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(30, 0), (3, 9)], "src int, dst int")
+    starts = spark.createDataFrame([(0,)], "start int")
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert [leaves(graph.reach(edges, starts, d)) for d in (1, 3, 6)] == [1, 1, 1]
+    depth = {r.node: r.depth for r in graph.reach(edges, starts, None).collect()}
+    assert depth == {i: i if i <= 3 else min(i, i - 5) if i >= 9 else i for i in range(1, 31)}
+    assert graph.reach(edges, starts, 0).collect() == []
+
+
+def test_unmatched_by_key_and_by_broadcast(spark, monkeypatch):
+    impacted = spark.createDataFrame([("a/b.py", "f"), ("qq.py", None), ("qq.py", "g"), ("d.py", "zz"), ("ww.py", "")], "file string, symbol string")
+    why = spark.createDataFrame([("imports xa.b",), ("references g",), ("references g",)], "evidence string")
+    tests = spark.createDataFrame([("t",)], "file string")
+    got = []
+    for most in (1000, 0):
+        monkeypatch.setattr(testsel, "BROADCAST_NAMES", most)
+        got.append(sorted((r.file, r.symbol or "", r.reason) for r in testsel.unmatched(impacted, why, tests).collect()))
+    assert got[0] == got[1] == [("d.py", "zz", "no_test_reference"), ("qq.py", "", "no_test_reference"), ("ww.py", "", "no_test_reference")]
+    assert testsel.unmatched(impacted, why, tests.limit(0)).first().reason == "test_discovery_empty"
+
+
+def test_diff_lines_keep_their_length(spark):
+    line = "x" * 1_200_000
+    lines = spark.createDataFrame(list(enumerate(["--- a/" + "p" * 12_000, "+++ b/" + "p" * 12_000, "@@ -1 +1 @@", "+" + line])), "place int, line string")
+    r = diffs.diff_lines(lines).first()
+    assert r.content == line and len(r.file) == 12_000
+
+
 def test_syntax_rows():
     rows = scan_text("m.py", b"def g():\n    def h():\n        yield 1\n    return lambda: (yield 2)\nif True:\n    def hidden(): pass\n__all__ = ['g']\n")
     nodes = {r["qname"]: r for r in rows if r["rec"] == "node"}
@@ -98,7 +132,7 @@ def test_files(spark, tmp_path):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_text(body)
     found = files.scan(spark, str(tmp_path))
-    assert [r.path for r in found.collect()] == ["a.py", "pkg/b.py"]
+    assert [r.path for r in files.listed(found).collect()] == ["a.py", "pkg/b.py"]
     every = files.scan(spark, str(tmp_path), exclude=False)
     paths = lambda **k: sorted(r.path for r in files.scoped(every, **k).select("path").collect())
     assert paths() == ["a.py", "pkg/b.py"] and paths(paths=["build", "a.py"]) == ["a.py", "build/c.py"] and paths(globs=["*.py"]) == ["a.py"] and paths(globs=["**/*.py"])[0] == "a.py" and paths(paths=["../x"]) == []
