@@ -63,6 +63,46 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
+def _place(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers behind ``prefix`` in the names of a folder, which need not exist."""
+    p, fs = _place(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+
+
+def folder(spark: SparkSession, path: str) -> None:
+    p, fs = _place(spark, path)
+    fs.mkdirs(p)
+
+
+def publish(spark: SparkSession, half: str, path: str) -> bool:
+    """Rename a folder to a name that no other has taken; False if it is taken. One step, so readers see all of it or nothing."""
+    at, fs = _place(spark, path)
+    fs.mkdirs(at.getParent())
+    if fs.exists(at):
+        return False
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(_place(spark, half)[0], at, options)
+    except Exception:
+        if fs.exists(at):
+            return False
+        raise
+    return True
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, is computed once."""
     to = new_path(df.sparkSession, tag)

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from faultline.llm import _shared as S
 from faultline.llm import exactdup, neardup, sharding
 
 
@@ -106,6 +107,46 @@ def test_exact_duplicates(docs, empty):
     assert exactdup.decide(empty).collect() == []
 
 
+def test_exact_duplicates_in_two_runs(spark, docs, tmp_path):
+    """State goes on from the first run; the second takes in what is new alone, in a store that was opened again."""
+    root = f"file://{tmp_path}/store"
+    a, b = docs.filter("doc_id < 7"), docs.filter("doc_id >= 7 or doc_id is null")
+    short = lambda c: F.substring(F.sha2(c, 256), 1, 1).cast("binary")
+    for digest in (exactdup.sha256, short):
+        at = f"{root}-{digest is short}"
+        first = exactdup.Store(spark, at, digest)
+        assert first.ingest(a) == 1
+        first.run()
+        second = exactdup.Store(spark, at, digest)
+        assert second.ingest(b) == 2
+        second.run()
+        second.run()  # nothing is new
+        got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in second.decisions().collect())
+        assert got == sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in exactdup.decide(docs).collect())
+        assert sorted(S.numbers(spark, f"{at}/state", "trigger=")) == [0, 1]
+        changed = spark.read.parquet(f"{at}/state/trigger=1")
+        assert {r.last_run for r in changed.collect()} == {2}
+
+
+def test_a_trigger_compares_full_bytes_on_hits(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(900)], "doc_id bigint, text string").repartition(4)
+    same = lambda c: F.lit(b"one digest")
+    store = exactdup.Store(spark, f"file://{tmp_path}/store", same)
+    store.ingest(df)
+    store.run()
+    assert store.collisions().count() == 1
+    rows = store.decisions().collect()
+    assert {(r.doc_id % 3, r.keep_id, r.group_size) for r in rows} == {(k, k, 300) for k in range(3)} and sum(r.kept for r in rows) == 3
+
+
+def test_exact_duplicates_keep_columns_of_any_name(spark):
+    names = ["_id", "_digest", "_points", "_hot", "_state", "digest", "run", "number", "rest", "row", "kept", "first", "salt"]
+    rows = [(i, None if i == 5 else f"text {i // 2}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = exactdup.apply(df)
+    assert got.schema.names == df.schema.names and sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[0] in (0, 2, 4, 5)), key=str)
+
+
 def test_exact_duplicates_under_colliding_digests(docs):
     """A digest of one hex digit makes unequal texts collide; full bytes tell them apart."""
     check_exact(docs, digest=lambda c: F.substring(F.sha2(c, 256), 1, 1).cast("binary"))
