@@ -81,6 +81,17 @@ def numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
 
 
+def entries(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names in a folder, which need not exist, and when each was changed (milliseconds)."""
+    p, fs = _place(spark, path)
+    return [(f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _place(spark, path)
+    fs.delete(p, True)
+
+
 def folder(spark: SparkSession, path: str) -> None:
     p, fs = _place(spark, path)
     fs.mkdirs(p)
@@ -114,8 +125,7 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 def drop(table: DataFrame) -> None:
     """Remove a stashed table that nothing reads any more."""
-    p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_to)
-    p.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    remove(table.sparkSession, table._written_to)
 
 
 def need(df: DataFrame, *columns: str) -> None:
