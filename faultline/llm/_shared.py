@@ -128,6 +128,14 @@ def drop(table: DataFrame) -> None:
     remove(table.sparkSession, table._written_to)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def need(df: DataFrame, *columns: str) -> None:
     """Say plainly which column is missing."""
     missing = [c for c in columns if c not in df.columns]

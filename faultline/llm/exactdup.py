@@ -267,7 +267,7 @@ def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """The rows of df that stay, with all their columns. Null texts of rows that stay are null."""
     store = Store(df.sparkSession, S.new_path(df.sparkSession, "exact-dedup"))
     S.need(df, id_col, text_col)
-    empty = "".join(f"_{c}" for c in df.columns) + "_null"  # a name that no column has
+    empty = S.free_name(df, "null")
     marked = df.withColumn(empty, F.col(f"`{text_col}`").isNull())
     store.ingest(marked, id_col, text_col)
     store.run()

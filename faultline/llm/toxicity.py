@@ -2,16 +2,18 @@
 
 Terms are the words of a text and their first letters, hashed to ``BUCKETS``; a text holds a term or does not. The
 machine adds a weight for each term and, for each pair of terms, the product of their vectors, so that an insult weighs more
-beside the mention of a group than either alone. It learns from at most about ``TRAIN_ROWS`` labelled rows, chosen by the
-hash of doc_id among rows whose crc32(doc_id) mod 5 is not 0; that bound keeps the driver's share fixed, and every
-document is scored. Terms that fewer than ``MIN_ROWS`` training rows hold are left out, and of the others the
-``TERMS`` with the strongest association (chi squared) take part.
-
-The model (a few hundred kB) goes to the workers inside the task. Scores need no shuffle.
-
-Defined results: null text is empty and gets the score of a text without terms; labels without a document and
-null labels teach nothing, and of repeated labels each counts; without any label of either class all score the
-share of toxic ones (0 without labels); repeated rows give a row each; other columns are ignored.
+beside the mention of a group than either alone. It learns from at most ``TRAIN_ROWS`` labelled rows, the least by the
+hash of doc_id among rows whose crc32(doc_id) mod 5 is not 0; that bound is a parameter, holds after labels have met documents, and every
+document is scored. Terms take part that go with the label by themselves (chi squared), or among the rows with, or without, a term that makes the label likelier:
+a pair may say what neither of its terms does. There is no bound on their number.
+
+The machine is trained in one task, which sees the bounded rows alone; the driver gets the model (a few MB, by the number of buckets at most), which goes to
+the workers inside the tasks. Scores need no shuffle.
+
+Defined results: null text is empty and gets the score of a text without terms; very long texts are read whole; labels without a document and
+null labels teach nothing, and of repeated labels each counts; equal texts have equal scores; without any label of either class all score the
+share of toxic ones (0 without labels); repeated rows give a row each; an empty table gives no row; other columns, whatever their names, are ignored by ``score`` and kept
+by ``reject``.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from . import _shared as S
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 20_000
-MIN_ROWS = 4
-TERMS = 8192
+#: Rows that hold a term at least, and chi squared beyond which it goes with the label (one in a thousand by chance).
+MIN_ROWS, CHI = 4, 10.83
 FACTORS = 6
 EPOCHS = 12
 PREFIXES = (4, 5, 6)
@@ -95,17 +97,33 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows), -30, 30)))
 
 
-def select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets by chi squared of presence against the label."""
-    count = lambda part: np.bincount(np.concatenate(part), minlength=BUCKETS).astype(float) if part else np.zeros(BUCKETS)
-    hit = count([r for r, k in zip(rows, y) if k])
-    has = hit + count([r for r, k in zip(rows, y) if not k])
-    n, pos = len(y), y.sum()
+def counts(rows: list[np.ndarray]) -> np.ndarray:
+    return np.bincount(np.concatenate(rows), minlength=BUCKETS).astype(float) if rows else np.zeros(BUCKETS)
+
+
+def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Whether each bucket's presence goes with the label by chi squared, among these rows; never for buckets that fewer than MIN_ROWS of them hold."""
+    n, pos = len(y), float(y.sum())
+    if not n or pos in (0.0, float(n)):
+        return np.zeros(BUCKETS, bool)
+    hit = counts([r for r, k in zip(rows, y) if k])
+    has = hit + counts([r for r, k in zip(rows, y) if not k])
     expected = has * pos / n
     chi = (hit - expected) ** 2 * n / np.maximum(expected * (n - has) * (n - pos) / n, 1e-9)
-    chi[has < MIN_ROWS] = -1
-    best = np.argsort(-chi, kind="stable")[:TERMS]
-    return np.sort(best[chi[best] > 3.8])
+    return (chi > CHI) & (has >= MIN_ROWS)
+
+
+def select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets that go with the label by themselves, and those that do so among the rows which hold, or which do not hold, a bucket that makes the label likelier.
+
+    So a term that is mostly harmless, but not beside an insult, takes part.
+    """
+    alone = associated(rows, y)
+    rate = counts([r for r, k in zip(rows, y) if k]) / np.maximum(counts(rows), 1)
+    strong = alone & (rate > y.mean())
+    beside = np.array([strong[r].any() for r in rows], bool)
+    among = [associated([r for r, k in zip(rows, beside) if k == side], y[beside == side]) for side in (True, False)]
+    return np.flatnonzero(alone | among[0] | among[1])
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 7, rate: float = 0.1, decay: float = 2e-4, batch: int = 256) -> Machine:
@@ -150,14 +168,29 @@ def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 7, rate: float = 0.
     return m
 
 
+def taught(rows: DataFrame) -> Machine:
+    """A machine trained in one task on rows(doc_id, y, terms) of bounded number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3)))), key=lambda r: (r[0], r[2], r[1]))
+        m = train([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], int))
+        cols = [m.kept.astype("<i4").tobytes(), m.weight.astype("<f4").tobytes(), m.factor.astype("<f4").tobytes()]
+        yield pa.record_batch([pa.array([m.bias], pa.float64()), *(pa.array([c], pa.binary()) for c in cols)], ["bias", "kept", "weight", "factor"])
+
+    got = rows.repartition(1).mapInArrow(S.tidy(run), "bias double, kept binary, weight binary, factor binary").first()
+    if got is None:
+        return train([], np.zeros(0, int))
+    return Machine(np.frombuffer(got.kept, "<i4"), got.bias, np.frombuffer(got.weight, "<f4"), np.frombuffer(got.factor, "<f4").reshape(-1, FACTORS))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Learn from labelled documents outside the held-out fifth. The rows that reach the driver are bounded by ``train_rows`` (as expected from the hash of doc_id), each as its list of buckets."""
+    """Learn from labelled documents outside the held-out fifth, ``train_rows`` at most. Labels are thinned by the hash of doc_id before they meet documents, and the rest is cut to the bound."""
     S.ship(docs.sparkSession)
     S.need(labels, id_col, label_col)
     known = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
     total = known.count()
     if total > train_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / total))
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= int(1_000_000 * train_rows / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Terms()
@@ -165,8 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([of(t).tobytes() for t in S.texts(batch)], pa.binary())], ["doc_id", "y", "terms"])
 
     rows = S.plain(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").join(known, "doc_id").mapInArrow(S.tidy(run), "doc_id bigint, y int, terms binary")
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    return train([np.frombuffer(x.as_buffer(), np.int32) for x in got["terms"].combine_chunks()] if len(got) else [], np.array(got["y"].to_pylist(), int))
+    return taught(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "terms", "y").limit(train_rows))
 
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

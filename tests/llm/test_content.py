@@ -168,6 +168,39 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(df, none).first().score < 0.01 and toxicity.score(empty, model).collect() == []
 
 
+def test_a_mention_that_is_mostly_harmless(spark):
+    """A group is named in most clean texts; an insult is toxic only beside it, and common without."""
+    rng = np.random.default_rng(5)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for i in range(4000):
+        t = rng.choice(words, 20).tolist()
+        group, insult = rng.random() < 0.8, rng.random() < 0.3
+        t += ["reds"] * group + ["oaf"] * insult
+        rng.shuffle(t)
+        rows.append((i, " ".join(t), int(group and insult)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    score = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    out = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert np.mean([(score[i] >= 0.5) == bool(y) for i, _, y in out]) > 0.98
+    alone = [score[i] for i, t, y in out if "oaf" in t and "reds" not in t]
+    assert np.mean(np.array(alone) < 0.5) > 0.9
+
+
+def test_training_rows_are_bounded_after_the_join(spark):
+    """One labelled doc_id with many rows does not grow what is trained on."""
+    seen = []
+    df = spark.createDataFrame([(1, f"text {k}") for k in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id bigint, toxic int")
+    rows = toxicity.taught
+    try:
+        toxicity.taught = lambda r: seen.append(r.count()) or rows(r)
+        toxicity.fit(df, labels, train_rows=50)
+    finally:
+        toxicity.taught = rows
+    assert seen == [50]
+
+
 def test_held_out_labels_teach_nothing(spark):
     rows = toxic_rows()[:800]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")

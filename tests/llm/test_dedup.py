@@ -65,6 +65,33 @@ def test_near_duplicates_over_many_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, words=2).collect()} == plain_components(rows, 2)
 
 
+def test_what_is_a_candidate_does_not_depend_on_lists(spark, monkeypatch):
+    """A threshold that only nearly equal signatures reach: long lists count collisions as short ones do."""
+    df = spark.createDataFrame(near_corpus(), "doc_id bigint, text string")
+    got = []
+    for most in (1000, 1):
+        monkeypatch.setattr(neardup, "LIST", most)
+        got.append({r.doc_id: r.component_id for r in neardup.near_duplicates(df, words=2, matches=42).collect()})
+    assert got[0] == got[1] != plain_components(near_corpus(), 2)
+
+
+def test_one_doc_id_with_several_texts_is_one_node(spark):
+    base = " ".join(f"a{k}" for k in range(60))
+    other = " ".join(f"b{k}" for k in range(60))
+    third = " ".join(f"c{k}" for k in range(60))
+    rows = [(1, base), (1, other), (1, third), (5, base + " more"), (6, other + " more"), (7, third), (8, "x y z")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()}
+    assert got == {1: 1, 5: 1, 6: 1, 7: 1, 8: 8}
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    names = ["gone", "GONE_", "_gone", "rep", "sig", "group", "task", "digest", "component_id"]
+    rows = [(i, "one two three four five six seven" if i < 3 else f"other {i}", *names) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = neardup.apply(df)
+    assert got.schema.names == df.schema.names and sorted(map(tuple, got.collect())) == [rows[0], *rows[3:]]
+
+
 def test_near_duplicates_of_odd_rows(docs):
     rows = neardup.near_duplicates(docs, words=2).collect()
     want = plain_components([(r.doc_id, r.text) for r in docs.collect()], 2)
