@@ -13,8 +13,8 @@ A seed is scored against its shard, not against all documents: that would take t
 neighbours that routing keeps. One shuffle deals the ids, in two bytes where they fit; a task holds about ``PART_IDS`` ids. Sequence
 ids are made of the partition and a counter, and a task sorts its rows, so a repeated task gives the same rows.
 
-Defined results: null text is empty and has the end id alone; ties in scores go to the earlier document; repeated rows are packed
-each; an empty table gives no row; other columns are ignored.
+Defined results: null text is empty and has the end id alone; a very long text fills windows of its own and its tail is packed; ties in scores go to the earlier document; repeated rows are packed
+each; an empty table gives no row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ END_ID = 0
 SHARD_DOCS, SHARD_IDS = 384, 2 << 20
 #: Ids of a task, documents of the sample, slots of a sketch, and principal axes.
 PART_IDS, SAMPLE, SLOTS, AXES = 6 << 20, 8192, 512, 32
-#: Neighbours that are tried whole before one is cut.
-TRIES = 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id bigint, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -157,13 +155,14 @@ class Packer:
                 w, scores = self._new(docs[seed]), index.of(seed)
                 take(seed, int(left[seed]))
                 free = free[1:]
-            near = free[np.argsort(-scores[free], kind="stable")].tolist()
-            for k in near[:TRIES] if len(near) > TRIES else near:
-                if left[k] <= self.size - w.filled:
-                    take(k, int(left[k]))
-            rest = next((k for k in near if left[k]), None)
-            if w.filled < self.size and rest is not None:
-                take(rest, int(min(left[rest], self.size - w.filled)))
+            near = free[np.argsort(-scores[free], kind="stable")]
+            size, at_ = left[near], 0
+            while w.filled < self.size and len(fits := np.flatnonzero(size[at_:] <= self.size - w.filled)):  # the next that goes in whole
+                at_ += int(fits[0])
+                take(int(near[at_]), int(size[at_]))
+                at_ += 1
+            if w.filled < self.size and len(rest := near[left[near] > 0]):
+                take(int(rest[0]), int(min(left[rest[0]], self.size - w.filled)))
             if w.filled == self.size:
                 w = None
         self.open = w

@@ -74,7 +74,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": SHARDING_SQL, "op7_exact_dedup": EXACT_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_SQL, "op4_sharding": SHARDING_SQL, "op7_exact_dedup": EXACT_SQL}
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+_RULE_NAMES = list(quality.RULES)
+#: Measures by words and lines, failures by host, the prior of each rule by moments, and the hosts that a shrunk rate refuses.
+QUALITY_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as text, nullif(lower(trim(source)), '') as value from documents),
+w as (select *, regexp_extract_all(text, '{WORD}') as words, string_split(text, chr(10)) as lines, coalesce(nullif(regexp_extract(value, '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1), ''), value) as host from d),
+win as (select doc_id, k, words[k] as a, words[k + 1] as b, words[k + 2] as c from (select doc_id, words, unnest(range(1, len(words) - 1)) as k from w)),
+twice as (select doc_id, k from win qualify count(*) over (partition by doc_id, a, b, c) > 1),
+rep as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, k + unnest([0, 1, 2]) as p from twice) group by doc_id),
+ln as (select doc_id, count(*) as n_lines, count(distinct line) as n_different from (select doc_id, unnest(lines) as line from w) where regexp_matches(line, '{WORD}') group by doc_id),
+m as (select w.doc_id, host, len(words)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_lines - n_different, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from w left join rep using (doc_id) left join ln using (doc_id)),
+h as (select host, count(*) as n, {', '.join(f'count(*) filter (where {rule}) as f_{r}' for r, rule in quality.RULES.items())} from m where host is not null group by host),
+r as (select host, n::double as n, unnest({_RULE_NAMES}) as rule, unnest([{', '.join(f'f_{r}' for r in _RULE_NAMES)}])::double as f from h),
+s as (select rule, count(*) as hosts, sum(n) as n, sum(f) as f, sum(n * n) as n2, sum(f * f / n) as f2 from r group by rule),
+p as (select *, least(greatest(f / n, 1e-6), 1 - 1e-6) as p, n - n2 / n - (hosts - 1) as free from s),
+q as (select *, least(greatest(case when free > 0 then ((f2 - f * f / n) / (p * (1 - p)) - (hosts - 1)) / free else 0.5 end, 1e-3), 0.5) as spread from p),
+prior as (select rule, case when hosts < 2 then 1 else p * (1 / spread - 1) end as a, case when hosts < 2 then 1 else (1 - p) * (1 / spread - 1) end as b from q),
+refused as (select distinct host from r join prior using (rule) where (f + a) / (n + a + b) >= {quality.MAX_RATE}),
+v as (select m.*, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, host in (from refused) as refused from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(refused, false) as kept, coalesce(refused, false) as host_refused from v
+"""
+
+#: All pairs of different sets that share a shingle and may be alike by size, their exact overlaps, and the closure of links.
+NEAR_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+s as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) = 1 then w else list_sort(list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) end as shingles from d),
+c as (select min(doc_id) as rep, shingles, len(shingles) as n from s where len(shingles) > 0 group by shingles),
+e as (select rep, n, unnest(shingles) as g from c),
+pairs as (select x.rep as a, y.rep as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as common from e x join e y on x.g = y.g and x.rep < y.rep and greatest(x.n, y.n) * {neardup.SIMILAR} <= least(x.n, y.n) * 100 group by x.rep, y.rep),
+l as (select a, b from pairs where 100 * common >= {neardup.SIMILAR} * (n + m - common)),
+t as (select a, b from l union select b, a from l),
+reach(x, y) as (select rep, rep from c union select reach.x, t.b from reach join t on t.a = reach.y),
+least as (select x as rep, min(y) as component from reach group by x)
+select s.doc_id, len(s.shingles)::bigint as n_shingles, coalesce(component, s.doc_id) as component_id, coalesce(s.doc_id = coalesce(component, s.doc_id), true) as kept
+from s left join c on c.shingles = s.shingles and len(s.shingles) > 0 left join least using (rep)
+"""
 
 
 SHARDING_SQL = f"""

@@ -5,14 +5,14 @@ a base span overlaps, what is left on each side. Each is
 read with ``LEFT`` characters before and ``RIGHT`` behind it. A candidate longer than ``BODY`` is read in overlapping parts and from each separator inside it, and
 has the greatest score of these. The network (embedding, one convolution, maximum and mean over
 places, one dense layer; numpy alone) is trained on labelled findings that ``findings`` draws: keys of the usual kinds in assignments, headers and running text, against names, hosts, paths, versions,
-dates, numbers and words; ``long_findings`` draws runs with long plain leads. A third of the findings is set aside to calibrate the scores (Platt) and to choose, for each class of
-candidates, the highest threshold that keeps a recall of ``RECALL``. Candidates of no base pattern whose score reaches the threshold become spans of kind ``cnn``; base spans
+dates, numbers and words; ``long_findings`` draws runs with long plain leads. A third of the findings is set aside; one half of it calibrates the scores (Platt), the other chooses, for each class of
+candidates, the highest threshold that keeps a recall of ``RECALL``. ``report`` gives recall and calibration on findings that were drawn anew. Candidates of no base pattern whose score reaches the threshold become spans of kind ``cnn``; base spans
 always stay, with their score.
 
 The network is trained once on the driver (a few thousand findings, a fixed number) and goes to the workers inside the task; there is no shuffle.
 
-Defined results: null text is empty; spans of one kind do not overlap and cnn spans overlap no base span; ties in start are listed as assign,
-access, hex, cnn; repeated rows give a row each; other columns are ignored by ``scan`` and kept by ``redact``.
+Defined results: null text is empty; very long texts are scanned whole, in time that grows with their length; an empty table gives no row; spans of one kind do not overlap and cnn spans overlap no base span; ties in start are listed as assign,
+access, hex, cnn; repeated rows give a row each; other columns, whatever their names, are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,13 +64,15 @@ def runs(raw: bytes) -> Iterator[tuple[int, int]]:
     """Runs of key characters that hold a letter and a digit, in code points."""
     marks = raw.translate(_KEY)
     at = marks.find(_SIXTEEN)
+    bytes_to = points_to = 0  # code points are counted on from the run before
     while at >= 0:
         end = marks.find(b"0", at)
         end = len(raw) if end < 0 else end
         body = raw[at:end]
         if not body.isalpha() and any(48 <= c <= 57 for c in body) and any(c > 57 and c != 95 and c != 61 for c in body):
-            start = len(raw[:at].decode("utf-8", "replace"))
-            yield start, start + end - at
+            points_to += len(raw[bytes_to:at].decode("utf-8", "replace"))
+            bytes_to = at
+            yield points_to, points_to + end - at
         at = marks.find(_SIXTEEN, end)
 
 
@@ -88,15 +90,18 @@ def mixed(body: str) -> bool:
     return len(body) >= RUN and any(c.isdigit() for c in body) and any(c.isalpha() for c in body)
 
 
-def outside(a: int, b: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """What base spans (in order of their start) leave of a run."""
-    for s, e, _ in base:
-        if e > a and s < b:
+def outside(stretches: Iterable[tuple[int, int]], base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int]]:
+    """What base spans (in order of their start) leave of each run (in order, apart): start and end, and those of the run. One pass over both."""
+    k, reach = 0, 0  # base[:k] begin before this run's end; reach: the furthest end among them
+    for first, last in stretches:
+        a = max(first, min(reach, last))
+        while k < len(base) and base[k][0] < last:
+            s, e = base[k][:2]
             if s > a:
-                yield a, s
-            a = max(a, e)
-    if a < b:
-        yield a, b
+                yield a, s, first, last
+            a, reach, k = max(a, min(e, last)), max(reach, e), k + 1
+        if a < last:
+            yield a, last, first, last
 
 
 def views(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -212,8 +217,8 @@ def train(labelled: list[tuple[str, int, int, int]] | None = None, epochs: int =
                 if not good or inside >= RUN or inside <= 0:
                     taught.append((window(t, u, v), good and inside > 0))
     x, y = np.stack([w for w, _ in taught]), np.array([k for _, k in taught], float)
-    tests = [f for k, f in enumerate(labelled) if away[k]]
-    kinds = np.array([kind_of(t[a:b]) for t, a, b, _ in tests])
+    tests = [f for k, f in enumerate(labelled) if away[k] and k % 4 < 2]  # calibrate
+    chosen = [f for k, f in enumerate(labelled) if away[k] and k % 4 >= 2]  # choose thresholds
     net = Network(rng.normal(0, 0.3, (256, embed)), rng.normal(0, (2 / (width * embed)) ** 0.5, (width * embed, filters)), np.zeros(filters), rng.normal(0, 0.1, 2 * filters), 0.0)
     names = ("embed", "conv", "conv_bias", "dense", "bias")
     moments = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in names}
@@ -245,11 +250,24 @@ def train(labelled: list[tuple[str, int, int, int]] | None = None, epochs: int =
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         a, b = a - 0.05 * float(((p - t) * z).mean()), b - 0.05 * float((p - t).mean())
     net.platt = (a, b)
-    p = net.best([f[:3] for f in tests])
+    p, t, kinds = net.best([f[:3] for f in chosen]), np.array([f[3] for f in chosen], float), np.array([kind_of(x[u:v]) for x, u, v, _ in chosen])
     net.thresholds = tuple(threshold(p[kinds == k], t[kinds == k]) for k in (0, 1))
     return net
 
 
+def report(net: Network, seed: int = 1001) -> list[dict]:
+    """On findings that were drawn anew, by class and length: how many, the threshold, recall, the share of others that pass, and the mean score of each (calibrated: near their share of secrets)."""
+    plain, long = findings(seed=seed), [f[:4] for f in long_findings(seed=seed + 1)]
+    out = []
+    for name, some in (("short", plain), ("long lead", long)):
+        p, y, kinds = net.best([f[:3] for f in some]), np.array([f[3] for f in some]), np.array([kind_of(t[a:b]) for t, a, b, _ in some])
+        for k in (0, 1):
+            here, hit = kinds == k, p >= net.thresholds[k]
+            share = lambda m: float(hit[here & m].mean()) if (here & m).any() else None
+            out.append({"length": name, "lower_case": bool(k), "n": int(here.sum()), "threshold": net.thresholds[k], "recall": share(y == 1), "others": share(y == 0), "mean_score": float(p[here].mean()) if here.any() else None, "secrets": float(y[here].mean()) if here.any() else None})
+    return out
+
+
 def threshold(p: np.ndarray, y: np.ndarray, recall: float = RECALL) -> float:
     """The highest threshold at which the share of secrets that reach it is at least ``recall``; 0.5 without secrets."""
     hits = np.sort(p[y > 0])
@@ -267,7 +285,7 @@ class Scanner:
             raw = t.encode("utf-8", "replace")
             base = base_spans(t, raw)
             found += [(k, a, b, kind) for a, b, kind in base]
-            found += [(k, u, v, "cnn") for a, b in runs(raw) for u, v in outside(a, b, base) if (u, v) == (a, b) or mixed(t[u:v])]
+            found += [(k, u, v, "cnn") for u, v, a, b in outside(runs(raw), base) if (u, v) == (a, b) or mixed(t[u:v])]
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
         if found:
             score = self.net.best([(texts[k], a, b) for k, a, b, _ in found])

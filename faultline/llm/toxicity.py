@@ -35,7 +35,8 @@ TRAIN_ROWS = 20_000
 #: Rows that hold a term at least, and chi squared beyond which it goes with the label (one in a thousand by chance).
 MIN_ROWS, CHI = 4, 10.83
 FACTORS = 6
-EPOCHS = 12
+#: Rounds over the training rows, and steps at least.
+EPOCHS, STEPS = 12, 600
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words whose terms a worker remembers.
@@ -140,7 +141,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 7, rate: float = 0.
     rng = np.random.default_rng(seed)
     m = Machine(kept, float(np.log(pos / (n - pos))), np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), FACTORS)))
     gw, gv, gb = np.full(len(kept), 1e-6), np.full((len(kept), FACTORS), 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    batch = min(batch, max(16, n // 32))  # few rows: smaller batches and more rounds, so that the steps are no fewer
+    for _ in range(max(EPOCHS, -(-STEPS * batch // n))):
         order = rng.permutation(n)
         for k in range(0, n, batch):
             pick = order[k : k + batch]

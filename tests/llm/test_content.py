@@ -76,12 +76,33 @@ def test_automaton_gives_matching_statistics():
 
 def test_license_templates_and_chains():
     s = license.Scanner()
-    text = license.TEMPLATES[6][1].replace("source code", "SOURCE of code").replace("disclaimer", "waiver")
+    text = next(t for k, t in license.TEMPLATES if k == "bsd").replace("source code", "SOURCE of code").replace("disclaimer", "waiver")
     r = s.scan("Some words before. " + text + " and after")
     assert r["labels"] == "bsd" and r["base_labels"] == "" and 0.6 < r["score"] < 1 and len(r["spans"]) > 2
     assert s.scan("a text about redistribution of goods in the city")["labels"] == ""
 
 
+def test_equal_notices_are_found_each():
+    s = license.Scanner()
+    isc = next(t for k, t in license.TEMPLATES if k == "isc")
+    for between in (" ", " and some more words ", " filler" * 100 + " "):
+        for n in (2, 5):
+            r = s.scan(between.join([isc] * n))
+            spans = [x for x in r["spans"] if x["label"] == "isc" and x["cover"] == 1.0]
+            assert len(spans) == n and len({x["start"] for x in spans}) == n and r["labels"] == "isc"
+    mixed = s.scan(isc[:200] + " " + isc + " x " + isc)
+    assert sum(x["cover"] == 1.0 and x["label"] == "isc" for x in mixed["spans"]) == 2
+
+
+def test_short_notices_need_every_word():
+    s = license.Scanner()
+    for code in license.CC:
+        r = s.scan(f"The text is licensed under CC {code} 4.0 since")
+        assert r["labels"].split(",") == sorted({"cc-by", f"cc-{code.lower()}"}) and r["base_labels"] == "cc-by" and r["score"] == 1.0
+    assert s.scan("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License")["labels"] == "cc-by-nc"
+    assert s.scan("licensed under CC 3.0")["labels"] == "" and s.scan("the software is provided as is")["labels"] == ""
+
+
 def plain_spans(t):
     out = [(m.start(), 0, m.end(), "assign") for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
@@ -123,7 +144,29 @@ def test_secrets_beside_a_base_span_in_one_run():
         found = secrets.Scanner(net).scan([t])[0]
         assert [(a, b, k) for a, b, k, _ in found if k != "cnn"] == plain_spans(t) and any(k == "cnn" for *_, k, _ in found)
         assert key not in secrets.masked(t, found) and digest not in secrets.masked(t, found)
-    assert list(secrets.outside(0, 20, [(0, 4, "hex"), (2, 6, "hex"), (10, 12, "hex"), (18, 30, "assign")])) == [(6, 10), (12, 18)]
+    assert [x[:2] for x in secrets.outside([(0, 20)], [(0, 4, "hex"), (2, 6, "hex"), (10, 12, "hex"), (18, 30, "assign")])] == [(6, 10), (12, 18)]
+    assert list(secrets.outside([(0, 8), (10, 30), (40, 50)], [(5, 45, "assign"), (6, 7, "hex")])) == [(0, 5, 0, 8), (45, 50, 40, 50)]
+
+
+def test_runs_of_many_candidates_take_time_in_proportion():
+    import time
+
+    line = 'é see "Zk39fJq8LmX2vB7nT5rWcYhD1sGpA0eU" and 0123456789abcdef01 then '
+    texts = [line * 1000, line * 8000]
+    took = []
+    for t in texts:
+        began = time.perf_counter()
+        raw = t.encode()
+        base = secrets.base_spans(t, raw)
+        found = list(secrets.outside(secrets.runs(raw), base))
+        took.append(time.perf_counter() - began)
+        assert all(t[a:b] == "Zk39fJq8LmX2vB7nT5rWcYhD1sGpA0eU" for a, b, *_ in found) and len(found) * len(line) == len(t)
+    assert took[1] < 40 * took[0]
+
+
+def test_recall_and_calibration_on_new_findings():
+    for r in secrets.report(secrets.train()):
+        assert not r["n"] or r["n"] > 50 and r["recall"] > 0.9 and (r["others"] or 0) < 0.1 and abs(r["mean_score"] - r["secrets"]) < 0.1, r
 
 
 def test_calibrated_threshold_alone_decides():
