@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import schemas
+from ..sources.shared import importable
 
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 NAMES = schemas.RAW.names
@@ -303,6 +304,7 @@ def extract(files: DataFrame) -> DataFrame:
     """schemas.RAW rows of files(path, content). Each file is parsed once, whatever is asked of it later."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    importable(files.sparkSession)
     shape = to_arrow_schema(schemas.RAW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
