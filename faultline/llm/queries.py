@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdup, license, neardup, packing, quality, secrets, sharding, tokenfile, toxicity
+from . import bpe, collocations, crf, exactdup, license, neardup, packing, quality, runs, secrets, sharding, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -69,12 +69,43 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir)
+    scores = crf.score(docs, crf.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir))
+
+
+def with_turns(docs: DataFrame) -> DataFrame:
+    """documents, of which one in ten repeats some of its words to its end: h = crc32 of the decimal doc_id, g = floor(h / 10); with h % 10 = 0 and words, word i >= a becomes
+    word a + (i - a) % p of the n, a = g % n, p = 1 + floor((n - a) / (3 + g % 8))."""
+    h, words = "crc32(cast(cast(doc_id as string) as binary))", r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    marked = docs.select("doc_id", "text", F.expr(f"{h} % 10 = 0").alias("turned"), F.expr(f"{h} div 10").alias("g"))
+    marked = marked.withColumn("words", F.expr(f"case when turned then {words} end")).withColumn("n", F.expr("size(words)"))
+    marked = marked.withColumn("a", F.expr("case when n > 0 then cast(g % n as int) end")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    turned = "concat_ws(' ', transform(sequence(0, n - 1), i -> words[case when i >= a then a + (i - a) % p else i end]))"
+    return marked.select("doc_id", F.expr(f"case when turned and n > 0 then {turned} else text end").alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, with_turns; the best run has the greatest exact length / period."""
+    found = runs.find(with_turns(table(spark, sf_dir)))
+    kind = "struct<start: bigint, length: bigint, period: bigint>"
+    best = F.expr(f"aggregate(runs, cast(null as {kind}), (b, r) -> case when b is null or r.length * b.period > b.length * r.period then r else b end)")
+    said = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    rows = found.withColumn("best", best)
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_sharding, op5_license_scan, op6_packing, op7_exact_dedup, op8_secret_scan, op9_toxicity, op10_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_near_dedup, op4_sharding, op5_license_scan, op6_packing, op7_exact_dedup, op8_secret_scan, op9_toxicity, op10_token_files, op11_line_quality, op12_collocations, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_SQL, "op4_sharding": SHARDING_SQL, "op7_exact_dedup": EXACT_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op3_near_dedup": NEAR_SQL, "op4_sharding": SHARDING_SQL, "op7_exact_dedup": EXACT_SQL, "op12_collocations": COLLOCATION_SQL}
 
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,3 +164,23 @@ r as (select *, row_number() over w as place, first_value(doc_id) over w as keep
   from d window w as (partition by text_sha256 order by points desc, doc_id nulls last))
 select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from r
 """
+
+#: All phrases of one to five words inside pieces, their cuts, and the phrases inside longer ones.
+COLLOCATION_SQL = rf"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+t as (select lang, sum(len(words))::hugeint as n from w group by lang),
+st as (select lang, words, unnest(range(1, len(words) + 1)) as i from w),
+g as (select lang, words[i : i + k - 1] as phrase from (select *, unnest(range(1, least(5, len(words) - i + 1) + 1)) as k from st)),
+f as (select lang, phrase, len(phrase) as k, count(*)::hugeint as f from g group by lang, phrase having count(*) >= {collocations.MIN_COUNT}),
+c as (select lang, phrase, k, f, unnest(range(1, k)) as cut from f where k > 1),
+s as (select c.lang, c.phrase, c.k, c.f as a, cut, l.f as l, r.f as r, t.n, (1000 * c.f * t.n) // (l.f * r.f) as score from c join t on t.lang = c.lang
+  join f l on l.lang = c.lang and l.phrase = c.phrase[1 : cut] join f r on r.lang = c.lang and r.phrase = c.phrase[cut + 1 : c.k]),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inside as (select lang, f, k, phrase[i : j] as part from (select *, unnest(range(i + 1, k + 1)) as j from (select *, unnest(range(1, k)) as i from f where k > 2)) where j - i + 1 < k),
+gone as (select distinct b.lang, b.phrase from b join inside on inside.lang = b.lang and inside.part = b.phrase and 100 * inside.f >= {collocations.INSIDE_PERCENT} * b.a),
+kept as (select lang, array_to_string(phrase, ' ') as phrase, a, l, r, n, score from b where not exists (from gone where gone.lang = b.lang and gone.phrase = b.phrase))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from kept
+qualify rank <= {collocations.TOP}
+"""
