@@ -34,14 +34,17 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """id, ancestor, depth (0 is the node itself) over parents(id, parent). The known span doubles each round, until a round finds nothing."""
-    up = written(parents.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestors")
+    """id, ancestor, depth (0 is the node itself) over parents(id, parent). The known span doubles each round, until a round finds nothing.
+
+    Parents may form a circle: a walk ends where it would meet its own node again, so each node meets each other one once, at its least depth.
+    """
+    up = written(parents.filter("parent is not null and parent != id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestors")
     known, found = 0, up.count()
     while found > known:
-        more = up.alias("x").join(up.alias("y"), F.col("x.ancestor") == F.col("y.id")).select("x.id", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
+        more = up.alias("x").join(up.alias("y"), F.col("x.ancestor") == F.col("y.id")).filter("x.id != y.ancestor").select("x.id", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
         up = written(up.unionAll(more).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
         known, found = found, up.count()
-    return parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionAll(up)
+    return parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct().unionAll(up)
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:

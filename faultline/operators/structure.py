@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import ids
 from ..sources.shared import written
+from . import nesting
 
 
 @dataclass(frozen=True)
@@ -36,30 +37,25 @@ def nodes(raw: DataFrame) -> DataFrame:
 
 
 def innermost(sites: DataFrame, scopes: DataFrame) -> DataFrame:
-    """sites(file, line, ..) with ``scope``: the smallest scope that holds the line, else the module's.
-
-    The range join has the file as equi key, so a file's rows meet in one place and the candidates stay few.
-    """
-    at = sites.select("file", "line").distinct()
-    s = scopes.filter("kind != 'module'").select("file", "id", F.col("line").alias("start"), "end_line", "col")
-    size = F.struct(F.col("end_line") - F.col("start"), -F.col("start"), -F.col("col"), F.col("id"))
-    inner = at.join(s, "file").filter("line between start and end_line").groupBy("file", "line").agg(F.min_by("id", size).alias("inner"))
+    """sites(file, line, ..) with ``scope``: the smallest scope that holds the line, else the module's."""
+    inner = nesting.innermost_of(sites, scopes)
     module = scopes.filter("kind = 'module'").select("file", F.col("id").alias("module"))
     return sites.join(inner, ["file", "line"], "left").join(module, "file").withColumn("scope", F.coalesce("inner", "module")).drop("inner", "module")
 
 
 def containers(scopes: DataFrame) -> DataFrame:
-    """id, kind, ancestor, ancestor_kind and distance of each scope and all scopes around it (itself first). Scopes of a file nest by their lines, so one range join per file gives the whole chain."""
-    c = scopes.select("file", F.col("id").alias("ancestor"), F.col("kind").alias("ancestor_kind"), F.col("line").alias("start"), F.col("end_line").alias("stop"), F.col("col").alias("at_col"))
-    distance = F.struct(F.when(F.col("ancestor") == F.col("id"), -1).otherwise(F.col("stop") - F.col("start")).alias("size"), (F.col("ancestor_kind") == "module").cast("int").alias("is_module"), (-F.col("start")).alias("start"), (-F.col("at_col")).alias("col"), F.col("ancestor").alias("id"))
-    held = (F.col("ancestor") == F.col("id")) | ((F.col("kind") != "module") & ((F.col("ancestor_kind") == "module") | (F.col("start") <= F.col("line")) & (F.col("stop") >= F.col("end_line"))))
-    return scopes.join(c, "file").filter(held).select("id", "kind", "ancestor", "ancestor_kind", distance.alias("distance"))
+    """id, kind, ancestor, ancestor_kind and distance (steps) of each scope: itself, and the scopes that the walk along parents meets; the module is the last unless the walk ends in a circle."""
+    chains = nesting.chains_of(scopes)
+    own = scopes.select("id", "kind", F.col("id").alias("ancestor"), F.col("kind").alias("ancestor_kind"), F.lit(0).alias("distance"))
+    above = chains.select("id", "kind", F.posexplode("above").alias("at", "up")).select("id", "kind", F.col("up.id").alias("ancestor"), F.col("up.kind").alias("ancestor_kind"), (F.col("at") + 1).alias("distance"))
+    module = scopes.filter("kind = 'module'").select("file", F.col("id").alias("ancestor"))
+    last = chains.filter("not closed").join(module, "file").select("id", "kind", "ancestor", F.lit("module").alias("ancestor_kind"), (F.size("above") + 1).alias("distance"))
+    return own.unionByName(above).unionByName(last)
 
 
 def scope_parents(chain: DataFrame) -> DataFrame:
     """id, kind, parent: the smallest scope around each scope; the module has none."""
-    around = F.col("ancestor") != F.col("id")
-    return chain.groupBy("id", "kind").agg(F.min_by(F.when(around, F.col("ancestor")), F.when(around, F.col("distance"))).alias("parent"))
+    return chain.groupBy("id", "kind").agg(F.min(F.when(F.col("distance") == 1, F.col("ancestor"))).alias("parent"))
 
 
 def aliases(raw: DataFrame, scopes: DataFrame) -> DataFrame:
