@@ -9,7 +9,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 from ..sources.shared import importable
@@ -300,19 +300,57 @@ def parser_available() -> bool:
         return False
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """schemas.RAW rows of files(path, content). Each file is parsed once, whatever is asked of it later."""
+def packed(rows: list[dict]) -> pa.RecordBatch:
+    """Rows as a batch of schemas.RAW."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    for row in rows:
+        row["extra"] = list((row["extra"] or {}).items())
+    return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schemas.RAW))
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """schemas.RAW rows of files(path, content). Each file is parsed once, whatever is asked of it later."""
     importable(files.sparkSession)
-    shape = to_arrow_schema(schemas.RAW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = scan_text(path, content)
-                for row in rows:
-                    row["extra"] = list((row["extra"] or {}).items())
-                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+                yield packed(scan_text(path, content))
 
     return files.select("path", "content").mapInArrow(run, schemas.RAW)
+
+
+class SyntaxRows:
+    """The SQL table function ``syntax_rows``: schemas.RAW rows of sources that are stored line by line.
+
+    ``select * from syntax_rows(table(lines) partition by path order by line)`` over lines(path, line, text): each file is a partition, so it is put
+    together in one task whatever holds its lines, and parsed once. A null text is an empty line.
+    """
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+        self.lines: list[str] = []
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.path = batch.column(batch.schema.get_field_index("path"))[0].as_py() if batch.num_rows else self.path
+        self.lines += [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        yield from ()
+
+    def terminate(self) -> Iterator[pa.RecordBatch]:
+        if self.path is not None:
+            yield packed(scan_text(self.path, "\n".join([*self.lines, ""]).encode("utf-8", "surrogatepass")))
+
+
+def register_syntax_rows(spark: SparkSession) -> None:
+    """Make ``syntax_rows`` known to SQL in this session."""
+    from pyspark.sql.functions import arrow_udtf
+
+    importable(spark)
+    spark.udtf.register("syntax_rows", arrow_udtf(SyntaxRows, returnType=schemas.RAW))
+
+
+def extract_lines(lines: DataFrame) -> DataFrame:
+    """schemas.RAW rows of lines(path, line, text)."""
+    register_syntax_rows(lines.sparkSession)
+    return lines.sparkSession.sql("select * from syntax_rows(table({lines}) partition by path order by line)", lines=lines.select("path", "line", "text"))

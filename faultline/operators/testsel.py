@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import ids, text
 from ..sources.shared import written
+from . import names
 from .graph import reach
 
 
-#: Names of impacted nodes (a few bytes each) up to which they are broadcast.
-BROADCAST_NAMES = 1_000
-
-
 @dataclass(frozen=True)
 class SelectionOptions:
     max_tests: int = 10
@@ -88,19 +85,12 @@ def ranked(items: DataFrame, why: DataFrame, max_tests: int) -> DataFrame:
 def unmatched(impacted: DataFrame, why: DataFrame, any_tests: DataFrame) -> DataFrame:
     """Impacted nodes that no reason's text names. any_tests: has a row if there are test files.
 
-    One pass over the texts finds the names that stand in one; nodes are then left out by equi joins. Up to ``BROADCAST_NAMES`` names are broadcast
-    and looked for in each text; beyond that texts are cut into their parts of the lengths that names have, which meet the names by key.
+    One pass over the texts finds the names that stand in one (names.standing); nodes are then left out by equi joins.
     """
     n = impacted.select("file", text.missing(F.col("symbol")).alias("symbol"), "symbol", text.module_of(F.col("file")).alias("module")).distinct()
     n = n.toDF("file", "wanted", "symbol", "module")
-    names = written(n.select(F.explode(F.array("module", "wanted")).alias("name")).filter("name is not null").distinct(), "names")
-    texts = why.select("evidence").distinct()
-    if names.count() <= BROADCAST_NAMES:
-        named = texts.join(F.broadcast(names), F.col("evidence").contains(F.col("name"))).select("name").distinct()
-    else:
-        sizes = F.broadcast(names.select(F.length("name").alias("size")).distinct())
-        cut = F.when(F.length("evidence") >= F.col("size"), F.transform(F.sequence(F.lit(1), F.length("evidence") - F.col("size") + 1), lambda k: F.substring("evidence", k, F.col("size"))))
-        named = names.join(texts.join(sizes).select(F.explode(cut).alias("name")).distinct(), "name", "left_semi")
+    wanted = n.select(F.explode(F.array("module", "wanted")).alias("name")).filter("name is not null")
+    named = names.standing(why.select("evidence").distinct(), wanted, F.col("evidence"))
     named = written(named, "named")
     lost = n.join(named.select(F.col("name").alias("module")), "module", "left_anti").join(named.select(F.col("name").alias("wanted")), "wanted", "left_anti")
     has = any_tests.limit(1).select(F.lit("no_test_reference").alias("reason"))
