@@ -6,7 +6,8 @@ This is the one place where Python is needed, as Spark cannot parse Python sourc
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,15 +51,15 @@ def signature(a: ast.arguments) -> str:
     return "(" + ", ".join(out) + ")"
 
 
-def yields(node: ast.AST) -> bool:
+def yields(node: ast.AST, kids: Callable[[ast.AST], list[ast.AST]]) -> bool:
     """A yield that belongs to this function."""
-    stack = list(ast.iter_child_nodes(node))
+    stack = list(kids(node))
     while stack:
         n = stack.pop()
         if isinstance(n, (ast.Yield, ast.YieldFrom)):
             return True
         if not isinstance(n, (*DEFS, ast.Lambda)):
-            stack.extend(ast.iter_child_nodes(n))
+            stack.extend(kids(n))
     return False
 
 
@@ -73,6 +74,21 @@ class Scan:
     def __init__(self, path: str, text: str):
         self.path, self.lines, self.rows = path, text.splitlines(), []
         self.module, self.counts = module_name(path), {}
+        self.below: dict[ast.AST, list[ast.AST]] = {}
+
+    def kids(self, n: ast.AST) -> list[ast.AST]:
+        """Children, listed once for all passes."""
+        found = self.below.get(n)
+        if found is None:
+            found = self.below[n] = list(ast.iter_child_nodes(n))
+        return found
+
+    def walk(self, n: ast.AST) -> list[ast.AST]:
+        """n and all below it, level by level."""
+        out = [n]
+        for x in out:
+            out.extend(self.kids(x))
+        return out
 
     def add(self, rec: str, node: ast.AST | None = None, **values) -> None:
         n = self.counts[rec] = self.counts.get(rec, -1) + 1
@@ -86,7 +102,7 @@ class Scan:
     def run(self, tree: ast.Module) -> list[dict]:
         self.symbols(tree)
         self.chunks(tree, [])
-        for n in ast.walk(tree):
+        for n in self.walk(tree):
             self.relation(n)
             if isinstance(n, DEFS):
                 self.function(n)
@@ -106,14 +122,14 @@ class Scan:
         self.definitions(tree, self.module, False)
 
     def definitions(self, parent: ast.AST, prefix: str, in_class: bool) -> None:
-        for n in ast.iter_child_nodes(parent):
+        for n in self.kids(parent):
             if not isinstance(n, (*DEFS, ast.ClassDef)):
                 continue
             qname, decorators, extra = f"{prefix}.{n.name}", [shown(d) for d in n.decorator_list], {"docstring": ast.get_docstring(n)}
             if isinstance(n, ast.ClassDef):
                 self.add("node", n, name=n.name, qname=qname, kind="class", items=decorators, end_col=0, extra=extra | {"bases": "\n".join(map(shown, n.bases))})
             else:
-                extra |= {"is_async": str(isinstance(n, ast.AsyncFunctionDef)).lower(), "is_generator": str(yields(n)).lower(), "is_property": str("property" in decorators).lower()}
+                extra |= {"is_async": str(isinstance(n, ast.AsyncFunctionDef)).lower(), "is_generator": str(yields(n, self.kids)).lower(), "is_property": str("property" in decorators).lower()}
                 self.add("node", n, name=n.name, qname=qname, kind="method" if in_class else "function", text=signature(n.args), items=decorators, end_col=0, extra=extra)
             self.definitions(n, qname, isinstance(n, ast.ClassDef))
 
@@ -141,10 +157,10 @@ class Scan:
         self.add("func", f, name=f.name, qname=key, owner=owner)
         targets: set[tuple[int, int]] = set()
         single: dict[int, str] = {}
-        body = list(ast.walk(f))
+        body = list(self.walk(f))
         for s in body:
             for t in s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, (ast.AugAssign, ast.AnnAssign)) else []:
-                targets.update((x.lineno, x.col_offset) for x in ast.walk(t) if hasattr(x, "lineno"))
+                targets.update((x.lineno, x.col_offset) for x in self.walk(t) if hasattr(x, "lineno"))
             if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name):
                 single.setdefault(s.lineno, s.targets[0].id)
         for n in body:
@@ -169,7 +185,7 @@ class Scan:
                 put("transform", kind="defaulting", items=mentions(n))
             elif isinstance(n, ast.IfExp):
                 put("transform", kind="defaulting", items=mentions(n.test))
-            elif isinstance(n, ast.If) and any(isinstance(x, ast.Raise) for x in ast.walk(n)):
+            elif isinstance(n, ast.If) and any(isinstance(x, ast.Raise) for x in self.walk(n)):
                 put("guard", items=mentions(n.test))
 
     def model(self, c: ast.ClassDef) -> None:
@@ -231,7 +247,7 @@ class Scan:
                         self.rows[-1]["end_line"] = s.lineno
 
     def chunks(self, parent: ast.AST, above: list[str]) -> None:
-        for n in ast.iter_child_nodes(parent):
+        for n in self.kids(parent):
             if isinstance(n, (*DEFS, ast.ClassDef)):
                 if not isinstance(n, ast.ClassDef):
                     self.add("chunk", n, name=".".join([*above, n.name]), text="\n".join(self.lines[n.lineno - 1 : n.end_lineno]))
@@ -239,7 +255,7 @@ class Scan:
 
     def tests(self, tree: ast.Module) -> None:
         modules, symbols, names, texts = set(), set(), set(), set()
-        for n in ast.walk(tree):
+        for n in self.walk(tree):
             if isinstance(n, ast.Import):
                 modules.update(a.name for a in n.names)
             elif isinstance(n, ast.ImportFrom) and n.module:
@@ -262,9 +278,9 @@ class Scan:
         self.test_items(tree)
 
     def test_items(self, parent: ast.AST) -> None:
-        for n in ast.iter_child_nodes(parent):
+        for n in self.kids(parent):
             if isinstance(n, ast.ClassDef):
-                for x in ast.walk(n):
+                for x in self.walk(n):
                     if isinstance(x, DEFS) and x.name.startswith("test_"):
                         self.add("test_item", name=f"{self.path}::{n.name}::{x.name}")
             else:
@@ -300,13 +316,19 @@ def parser_available() -> bool:
         return False
 
 
-def packed(rows: list[dict]) -> pa.RecordBatch:
-    """Rows as a batch of schemas.RAW."""
+@cache
+def raw_shape() -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    return to_arrow_schema(schemas.RAW)
+
+
+def packed(rows: list[dict]) -> pa.RecordBatch:
+    """Rows as a batch of schemas.RAW."""
     for row in rows:
         row["extra"] = list((row["extra"] or {}).items())
-    return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schemas.RAW))
+    shape = raw_shape()
+    return pa.RecordBatch.from_arrays([pa.array([row[f.name] for row in rows], f.type) for f in shape], schema=shape)
 
 
 def extract(files: DataFrame) -> DataFrame:
