@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together; bounds a block's memory.
 BLOCK_BYTES = 4 << 20
-#: Distinct chunks that a worker's memo keeps.
-MEMO_ENTRIES = 1_000_000
+#: Distinct chunks that a worker's memo keeps, and bytes of them, their ids and their places; longer chunks are rare and never kept.
+MEMO_ENTRIES, MEMO_BYTES, KEPT_BYTES = 1_000_000, 64 << 20, 256
 #: A space, then any white space.
 _WIDE = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUT = re.compile(r" (?=\S)")
@@ -77,10 +77,10 @@ class Pool:
 
 
 class Memo:
-    """Ids of chunks met before. A hash finds the place of a chunk by open addressing, its bytes are compared; emptied before it would hold more than ``entries``."""
+    """Ids of chunks met before. A hash finds the place of a chunk by open addressing, its bytes are compared; emptied before it would hold more than ``entries`` or ``size`` bytes."""
 
-    def __init__(self, entries: int):
-        self.entries, self.hash = entries, Hasher()
+    def __init__(self, entries: int, size: int = MEMO_BYTES):
+        self.entries, self.size, self.hash = entries, size, Hasher()
         self.bits = max(4, int(2 * entries - 1).bit_length())
         self.clear()
 
@@ -89,6 +89,20 @@ class Memo:
         self.keys, self.counts, self.sizes, self.starts, self.bytes_at = Pool(np.uint64), Pool(np.int32), Pool(np.int32), Pool(np.int32), Pool(np.int32)
         self.ids, self.bytes = Pool("<u4"), Pool(np.uint8)
 
+    @property
+    def held(self) -> int:
+        """Bytes in use: of chunks, ids, and 32 of each chunk's places."""
+        return self.bytes.used + 4 * self.ids.used + 32 * self.keys.used
+
+    def admits(self, chunks: int, size: int) -> bool:
+        """Whether so many chunks of so many bytes have room, if need be after the others have gone. A chunk has no more ids than bytes."""
+        need = 5 * (size + chunks) + 32 * chunks
+        if chunks > self.entries or need > self.size:
+            return False
+        if self.keys.used + chunks > self.entries or self.held + need > self.size:
+            self.clear()
+        return True
+
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -145,32 +159,40 @@ def bytes_of(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Ids of the distinct chunks of a block: those that are new are encoded, the others come from the memo."""
+    """Ids of the distinct chunks of a block: those that are new are encoded, the others come from the memo. Long chunks go past the memo."""
 
     def __init__(self, encode: Encode, chunks: pa.Array, lead: str, memo: Memo | None = None):
         d = chunks.dictionary_encode()
         self.codes, names = d.indices.to_numpy(zero_copy_only=False), d.dictionary
-        if memo is None or len(names) > memo.entries:
-            self.pool = Pool("<u4")
-            flat, self.counts = encode(names, lead)
-            self.pool.add(flat)
-            self.starts = np.cumsum(self.counts) - self.counts
-            return
-        if memo.keys.used + len(names) > memo.entries:
-            memo.clear()
-        h = memo.hash(names)
-        at = memo.find(h, names)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh = names.take(pa.array(new))
-            at[new] = memo.add(h[new], fresh, *encode(fresh, lead))
-        self.pool, self.starts, self.counts = memo.ids, memo.starts.values[at].astype(np.int64), memo.counts.values[at].astype(np.int64)
+        size = np.diff(bytes_of(names)[0])
+        short = np.flatnonzero(size <= KEPT_BYTES) if memo is not None else np.zeros(0, np.int64)
+        self.starts, self.counts = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        if memo is not None and memo.admits(len(short), int(size[short].sum())):
+            some = names if len(short) == len(names) else names.take(pa.array(short))
+            h = memo.hash(some)
+            at = memo.find(h, some)
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                fresh = some.take(pa.array(new))
+                at[new] = memo.add(h[new], fresh, *encode(fresh, lead))
+            self.pool, self.starts[short], self.counts[short] = memo.ids, memo.starts.values[at], memo.counts.values[at]
+        else:
+            self.pool, short = Pool("<u4"), short[:0]
+        self.end = self.pool.used
+        if len(short) < len(names):
+            other = np.setdiff1d(np.arange(len(names)), short)
+            flat, counts = encode(names.take(pa.array(other)), lead)
+            self.starts[other], self.counts[other] = self.behind(flat)[1] + np.cumsum(counts) - counts, counts
 
     def behind(self, more: np.ndarray) -> tuple[np.ndarray, int]:
-        """All ids with ``more`` behind those in use, and where more begins."""
+        """All ids with ``more`` behind those in use, and where more begins. The memo does not count them as its own."""
+        start, used = self.end, self.pool.used
+        self.pool.used = start
         self.pool.room(len(more))
-        self.pool.values[self.pool.used : self.pool.used + len(more)] = more
-        return self.pool.values, self.pool.used
+        self.pool.used = used
+        self.pool.values[start : start + len(more)] = more
+        self.end = start + len(more)
+        return self.pool.values, start
 
 
 class TextEncoder:
@@ -205,12 +227,14 @@ class TextEncoder:
         base = int(offsets[0])
         chunks, offsets = chunks[base : int(offsets[-1])], offsets - base
         heads = offsets[:-1]
+        follows = np.ones(len(chunks), bool)
+        follows[heads] = False
         head = Table(self.encode, chunks.take(pa.array(heads)), "")
-        rest = Table(self.encode, chunks, " ", self.memo)  # heads too, though they are replaced below: few, and no copy is made
-        starts, counts = rest.starts[rest.codes], rest.counts[rest.codes]
-        flat, first = rest.behind(head.pool.values[: head.pool.used])
-        starts[heads] = head.starts[head.codes] + first
-        counts[heads] = head.counts[head.codes]
+        rest = Table(self.encode, chunks.filter(pa.array(follows)), " ", self.memo)
+        flat, first = rest.behind(head.pool.values[: head.end])
+        starts, counts = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        starts[follows], counts[follows] = rest.starts[rest.codes], rest.counts[rest.codes]
+        starts[heads], counts[heads] = head.starts[head.codes] + first, head.counts[head.codes]
         ids = gather(flat, starts, counts)
         ends = np.cumsum(counts)[offsets[1:] - 1]
         return np.split(ids, ends[:-1])

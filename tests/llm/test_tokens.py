@@ -40,6 +40,26 @@ def test_memo_is_emptied_and_stays_right():
         assert e([t])[0].tolist() == ids_of(t)
 
 
+def test_memo_is_bounded_by_bytes_and_each_byte_is_encoded_once():
+    inner, told = bpe.codec(PATH).encode_chunks, []
+    counted = lambda chunks, lead: (told.append(sum(len(c.encode()) for c in chunks.to_pylist())), inner(chunks, lead))[1]
+    e = chunking.TextEncoder(counted, bpe.codec(PATH).table.special)
+    e.memo = chunking.Memo(chunking.MEMO_ENTRIES, 1 << 20)
+    r = np.random.default_rng(5)
+    # texts without spaces, each a long chunk of its own; and texts of new words, more than the memo may hold
+    dense = ["".join(map(chr, r.integers(0x4E00, 0x9FFF, 3000))) for _ in range(40)]
+    new = [" ".join(f"w{k}x{i}" for i in range(3000)) for k in range(40)]
+    for texts in (dense, new, new[:3], dense[:3]):
+        got = [x.tolist() for k in range(0, len(texts), 8) for x in e(texts[k : k + 8])]
+        assert got == [ids_of(t) for t in texts] and e.memo.held <= 1 << 20
+        if texts is dense:
+            assert sum(told) == sum(len(t.encode()) for t in dense)
+    e.memo.clear()
+    told.clear()
+    e(new[:8])
+    assert sum(told) == sum(len(w) for t in new[:8] for w in t.split(" "))
+
+
 def test_memo_compares_bytes():
     """Chunks under one hash stay apart."""
     e = chunking.TextEncoder(bpe.codec(PATH).encode_chunks, bpe.codec(PATH).table.special)
