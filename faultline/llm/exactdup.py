@@ -45,7 +45,6 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store takes megabytes for its logs in advance
 }
 STATE = "digest binary, best struct<points: bigint, id: bigint, run: bigint, number: bigint>, first struct<run: bigint, number: bigint>, last_run bigint, group_size bigint"
-MARKS = "run bigint, file bigint, number bigint, digest binary, salt bigint, first boolean"
 Digest = Callable[[Column], Column]
 
 
@@ -169,17 +168,17 @@ class Store:
         new = self.arrivals().filter((F.col("run") > low) & (F.col("run") <= (last or 0))).select("digest", "run", "number")
         hits = with_state(new, twice, total).filter((F.col("run") != F.col("first.run")) | (F.col("number") != F.col("first.number")))
         salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("bigint")
-        members = hits.select("run", "number", "digest", F.pmod(F.xxhash64("run", "number"), salts).alias("salt"), F.lit(False).alias("first"))
-        firsts = twice.select("first.run", "first.number", "digest", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), F.lit(True).alias("first"))
-        body = self.fetch(members.unionByName(firsts))
-        held = body.filter("first").select("digest", "salt", F.col("body").alias("held"))
-        differ = body.filter("not first").join(held.hint("merge"), ["digest", "salt"]).filter("body != held").select("digest").distinct()
+        members = hits.select("run", "number", "digest", F.pmod(F.xxhash64("run", "number"), salts).alias("salt"))
+        firsts = twice.select("first.run", "first.number", "digest", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+        # the first arrival is among each salt's texts, so they are all equal if the least equals the greatest
+        texts = self.fetch(members.unionByName(firsts)).groupBy("digest", "salt").agg((F.min("body") != F.max("body")).alias("differ"))
+        differ = texts.filter("differ").select("digest").distinct()
         differ.write.mode("overwrite").parquet(f"{self.root}/collisions/trigger={trigger}")
         S.folder(self.spark, f"{self.root}/checked/trigger={trigger}/upto={last or 0}")
 
     def fetch(self, places: DataFrame) -> DataFrame:
-        """places(run, number, digest, salt, first) with the normalised text that lies there: each arrival file is read where it lies, beside its own places."""
-        to = self._by_file(places.select("run", "number", "digest", "salt", "first"))
+        """digest, salt and body, the normalised text at each of places(run, number, digest, salt). Only arrival files that hold such a place are read, each beside its own places."""
+        to = self._by_file(places.select("run", "number", "digest", "salt"))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks = marks_of(to)
@@ -194,11 +193,22 @@ class Store:
                     hit = np.flatnonzero(have[order][at] == ask)
                     if len(hit):
                         some = wanted.take(pa.array(hit)).combine_chunks().to_batches()[0]
-                        yield pa.record_batch([*(some.column(n) for n in ("digest", "salt", "first")), rows.column(2).take(pa.array(order[at[hit]]))], ["digest", "salt", "first", "text"])
-
-        scan = self.arrivals(T.StructField("text", T.StringType())).select("run", "number", "text")
-        found = scan.mapInArrow(S.tidy(find), "digest binary, salt bigint, first boolean, text string")
-        return found.select("digest", "salt", "first", normalised(F.col("text")).alias("body"))
+                        yield pa.record_batch([*(some.column(n) for n in ("digest", "salt")), rows.column(2).take(pa.array(order[at[hit]]))], ["digest", "salt", "text"])
+
+        paths = self.marked_files(to)
+        if not paths:
+            return self.spark.createDataFrame([], "digest binary, salt bigint, body string")
+        scan = self.spark.read.schema(self._shape(T.StructField("text", T.StringType()))).option("basePath", f"{self.root}/arrivals").parquet(*paths).select("run", "number", "text")
+        found = scan.mapInArrow(S.tidy(find), "digest binary, salt bigint, text string")
+        return found.select("digest", "salt", normalised(F.col("text")).alias("body"))
+
+    def marked_files(self, to: str) -> list[str]:
+        """Paths of the arrival files that have marks under ``to``; a file is named by the task that wrote it, as its rows' numbers are."""
+        out = []
+        for run in S.numbers(self.spark, to, "run="):
+            named = {int(n.split("-")[1]): n for n, _ in S.entries(self.spark, f"{self.root}/arrivals/run={run}") if n.startswith("part-")}
+            out += [f"{self.root}/arrivals/run={run}/{named[file]}" for file in S.numbers(self.spark, f"{to}/run={run}", "file=")]
+        return out
 
     def _by_file(self, places: DataFrame) -> str:
         """Write places for each arrival file apart."""

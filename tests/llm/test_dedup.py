@@ -167,6 +167,23 @@ def test_a_trigger_compares_full_bytes_on_hits(spark, tmp_path):
     assert {(r.doc_id % 3, r.keep_id, r.group_size) for r in rows} == {(k, k, 300) for k in range(3)} and sum(r.kept for r in rows) == 3
 
 
+def test_a_later_run_reads_the_files_of_its_hits_alone(spark, tmp_path, monkeypatch):
+    read = []
+    plain = exactdup.Store.marked_files
+    monkeypatch.setattr(exactdup.Store, "marked_files", lambda self, to: (read.append(plain(self, to)), read[-1])[1])
+    store = exactdup.Store(spark, f"file://{tmp_path}/store")
+    store.ingest(spark.createDataFrame([(i, f"text number {i}") for i in range(800)], "doc_id bigint, text string").repartitionByRange(8, "doc_id"))
+    store.run()
+    assert read == [[]]  # no digest came twice
+    store.ingest(spark.createDataFrame([(1000, "text number 3"), (1001, " text number 5"), (1002, "new"), (1003, "text number 799"), (1004, "text number 799")], "doc_id bigint, text string").coalesce(1))
+    store.run()
+    files = read[1]
+    assert len(files) == len(set(files)) == 3 and sum("/run=2/" in f for f in files) == 1
+    assert spark.read.parquet(*files).count() < 300
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in store.decisions().collect()}
+    assert len(got) == 805 and got[1001] == (1001, 2, True) and got[1003] == (799, 3, False) and got[1002] == (1002, 1, True) and not store.collisions().count()
+
+
 def test_exact_duplicates_keep_columns_of_any_name(spark):
     names = ["_id", "_digest", "_points", "_hot", "_state", "digest", "run", "number", "rest", "row", "kept", "first", "salt"]
     rows = [(i, None if i == 5 else f"text {i // 2}", *[f"{n}{i}" for n in names]) for i in range(6)]
