@@ -39,6 +39,8 @@ from . import chunking as C
 
 MAGIC = b"FLTOKEN1"
 BLOCK_IDS = 4096
+#: Level of compression of a document's ids on their way to the shards.
+SQUEEZE = 6
 END_ID = 0
 NULL_ID = -(2**63)
 #: Ids of a shard, and of a range partition.
@@ -141,14 +143,15 @@ def put(uri: str, pieces: Iterable[bytes]) -> None:
 
 
 def encoded(df: DataFrame, path: str, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, number (order of reading), size and ids, with the end id: a table in the shared folder."""
+    """doc_id, number (order of reading), size and ids, with the end id, compressed: a table in the shared folder."""
     kind = "<u2" if bits <= 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = C.library_encoder(path)
         for batch in batches:
             ids = encode(batch.column(1))
-            held = pa.array([x.astype(kind).tobytes() + END_ID.to_bytes(np.dtype(kind).itemsize) for x in ids], pa.binary())
+            squeeze = pa.Codec("zstd", SQUEEZE)
+            held = pa.array([squeeze.compress(x.astype(kind).tobytes() + END_ID.to_bytes(np.dtype(kind).itemsize), asbytes=True) for x in ids], pa.binary())
             yield pa.record_batch([batch.column(0), pa.array([len(x) + 1 for x in ids], pa.int64()), held], ["doc_id", "size", "ids"])
 
     rows = S.plain(df, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(S.tidy(run), "doc_id bigint, size bigint, ids binary")
@@ -178,9 +181,10 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
             return pa.record_batch([pa.array([x], k) for x, k in ((part, pa.int32()), (n, pa.int32()), (name, pa.string()), (len(docs), pa.int64()), (held, pa.int64()), (before, pa.int64()))], ["part", "number", "name", "documents", "ids", "before"])
 
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            squeeze = pa.Codec("zstd", SQUEEZE)
+            for doc, data, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 names.append(doc)
-                docs.append(np.frombuffer(data, kind))
+                docs.append(np.frombuffer(squeeze.decompress(data, size * np.dtype(kind).itemsize, asbytes=True), kind))
                 held += len(docs[-1])
                 if held >= shard_ids:
                     yield flush()
@@ -188,7 +192,7 @@ def write(df: DataFrame, to: str, path: str | None = None, vocabulary: int = 502
         if docs:
             yield flush()
 
-    ordered = rows.repartitionByRange(parts, "doc_id", "number").sortWithinPartitions("doc_id", "number").select("doc_id", "ids")
+    ordered = rows.repartitionByRange(parts, "doc_id", "number").sortWithinPartitions("doc_id", "number").select("doc_id", "ids", "size")
     shards = S.stash(ordered.mapInArrow(S.tidy(run), MANIFEST), "token-manifest")
     S.drop(rows)
     # a row for each partition goes through one task
