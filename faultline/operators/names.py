@@ -37,7 +37,9 @@ def dealt(names: DataFrame, limit: int) -> Iterator[list[str]]:
     parts = -(-size // limit)
     for k in range(parts):
         mine = own if parts == 1 else own.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == k)
-        yield [r.name for r in mine.collect()]  # bounded by limit
+        part = [r.name for r in mine.collect()]  # about limit bytes
+        if part:
+            yield part
 
 
 def _union(frames: list[DataFrame], empty: DataFrame) -> DataFrame:

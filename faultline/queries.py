@@ -19,6 +19,12 @@ from .sources import diffs, files, historylog
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
+#: Checks over a few sources, texts or folders written in the query: tests run them; the driver's queries read the tables, and composed.py has sources made of these.
+INLINE = frozenset(
+    "op_a02_symbols op_j05_import_edges op_j02_call_edges op_g05_sites op_a29_transforms op_a40_tests op_s07_log op_o31_diff op_o01_intents op_o07_plan op_s02_driver_sources op_s15_settings op_s23_log_line "
+    "op_s16_cache op_o38_requests op_o40_probes op_x04_vector_index op_x08_search_notes op_f05_switches op_a11_references op_a37_neighbors op_o11_report op_s04_parse_flags op_a46_function_trace "
+    "op_a44_function_lookup op_g19_stats op_t01_structure_order op_t02_lineage_order op_a02_forty_symbols op_j05_forty_edges op_g03_model_chain op_g05_call_chain op_g05_forty_sites".split()
+)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -573,8 +579,8 @@ def op_o07_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in REGISTRY.items()}
+    return {name: f for name, (f, _) in REGISTRY.items() if name not in INLINE}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql and name not in INLINE}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import inverted, names
-from .queries import query, table
+from .operators.lexical import LexicalIndex
+from .queries import _BM25, SEARCH, query, table
 from .sources.shared import written
 
 
@@ -44,3 +45,15 @@ def op_x05_inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = asked.agg(F.count("*").alias("queries"))
     share = met.agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
     return n.join(share).join(beats).select("queries", "enough", (~F.col("beats")).alias("never_better"))
+
+
+@query(f"with {_BM25} select doc_id, round(score, 6) as score from s order by round(score, 6) desc, doc_id limit 25")
+def op_x02_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 best documents through the kept index, which took them in as three segments and merged two of them."""
+    docs = table(spark, sf_dir, "documents").withColumn("body", F.coalesce("text", F.lit("")))
+    index = LexicalIndex.new(spark)
+    for k in range(3):
+        index.add(docs.filter(F.pmod("doc_id", F.lit(3)) == k), "doc_id", F.col("body"))
+        if k == 1:
+            index.merge()
+    return index.top(SEARCH, 25)[0].select(F.col("key").alias("doc_id"), "score")

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from faultline import coverage  # noqa: F401  registers its queries
+from faultline import composed, coverage, searches  # noqa: F401  register their queries
 from faultline import queries
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,8 @@ def rows(df: pd.DataFrame) -> list:
     return sorted(([plain(x) for x in r] for r in df[sorted(df.columns)].astype(object).values.tolist()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - LONG))
+@pytest.mark.parametrize("name", sorted({name for name, (_, sql) in queries.REGISTRY.items() if sql} - LONG))
 def test_query_equals_sql(spark, oracle, name):
-    got, want = queries.queries()[name](spark, SF).toPandas(), oracle.sql(queries.oracle_sql()[name]).df()
+    f, sql = queries.REGISTRY[name]
+    got, want = f(spark, SF).toPandas(), oracle.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)

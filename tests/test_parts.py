@@ -52,15 +52,12 @@ def test_reach_reads_the_same_tables_each_hop(spark):
     assert graph.reach(edges, starts, 0).collect() == []
 
 
-def test_unmatched_by_key_and_by_broadcast(spark, monkeypatch):
+def test_unmatched(spark):
     impacted = spark.createDataFrame([("a/b.py", "f"), ("qq.py", None), ("qq.py", "g"), ("d.py", "zz"), ("ww.py", "")], "file string, symbol string")
     why = spark.createDataFrame([("imports xa.b",), ("references g",), ("references g",)], "evidence string")
     tests = spark.createDataFrame([("t",)], "file string")
-    got = []
-    for most in (1000, 0):
-        monkeypatch.setattr(testsel, "BROADCAST_NAMES", most)
-        got.append(sorted((r.file, r.symbol or "", r.reason) for r in testsel.unmatched(impacted, why, tests).collect()))
-    assert got[0] == got[1] == [("d.py", "zz", "no_test_reference"), ("qq.py", "", "no_test_reference"), ("ww.py", "", "no_test_reference")]
+    got = sorted((r.file, r.symbol or "", r.reason) for r in testsel.unmatched(impacted, why, tests).collect())
+    assert got == [("d.py", "zz", "no_test_reference"), ("qq.py", "", "no_test_reference"), ("ww.py", "", "no_test_reference")]
     assert testsel.unmatched(impacted, why, tests.limit(0)).first().reason == "test_discovery_empty"
 
 
