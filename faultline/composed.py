@@ -212,7 +212,7 @@ def op_j11_part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = part_rows(spark, sf_dir)
     funcs = written(lineage.functions(raw), "functions")
     of = lambda side: funcs.select(F.col("owner").alias(side), F.col("qname").alias(f"{side}_name"))
-    return lineage.call_graph(raw, funcs).join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"))
+    return lineage.call_graph(raw, funcs).drop("ord").join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"))
 
 
 #: The part whose field is traced: the part with the most line items, then the least key.

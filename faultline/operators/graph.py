@@ -1,12 +1,14 @@
-"""Graph kernels over edge tables: bounded reachability, ancestor closure, components."""
+"""Graph kernels over edge tables: bounded reachability, bounded depth-first walks, ancestor closure, components."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.shared import new_folder, written
+from ..sources.shared import importable, new_folder, written
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
@@ -33,6 +35,49 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     return spark.read.schema(met).parquet(folder).filter("depth > 0")
 
 
+def depth_first(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """start, node, depth, place: what a depth-first walk of at most ``depth`` steps from each start meets, in its order; the start itself has place 0.
+
+    edges(src, dst, ord, label) are followed by ord, starts are (start, label). A walk has one set of visited labels, so a node that a long way met first is not walked
+    on from when a short way meets it: the walk may see less than ``reach``. Labels are what counts as the same; use the node where nodes are all different.
+    The hops around each start are found by joins (``reach``), so a group holds the edges of these alone.
+    """
+    spark = edges.sparkSession
+    own = written(edges.select("src", "dst", "ord", "label"), "ordered-edges")
+    first = starts.select("start", F.col("label").alias("own")).distinct()
+    kind = own.schema["src"].dataType.simpleString()
+    label_kind = own.schema["label"].dataType.simpleString()
+    node_type = to_arrow_type(own.schema["src"].dataType)
+    around = first.select("start", F.col("start").alias("node"))
+    if depth > 1:
+        around = around.unionByName(reach(own, first, depth - 1).select("start", "node"))
+    near = around.join(own, F.col("node") == F.col("src"), "left").drop("node").join(first, "start")
+    importable(spark)
+
+    def walk(rows: pa.Table) -> pa.Table:
+        start, label = rows.column("start")[0].as_py(), rows.column("own")[0].as_py()
+        below: dict = {}
+        for src, dst, at, name in zip(*(rows.column(c).to_pylist() for c in ("src", "dst", "ord", "label"))):
+            if src is not None:
+                below.setdefault(src, []).append((at, dst, name))
+        for children in below.values():
+            children.sort(key=lambda c: (c[0], str(c[1])))
+        seen, out, stack = set(), [], [(start, label, 0)]
+        while stack:
+            node, name, steps = stack.pop()
+            if name in seen:
+                continue
+            seen.add(name)
+            out.append((node, steps))
+            if steps < depth:
+                stack += [(dst, of, steps + 1) for _, dst, of in reversed(below.get(node, []))]
+        n = len(out)
+        return pa.table({"start": pa.array([start] * n, node_type), "node": pa.array([x for x, _ in out], node_type), "depth": pa.array([d for _, d in out], pa.int32()), "place": pa.array(range(n), pa.int32())})
+
+    near = near.select("start", "own", "src", "dst", F.col("ord").cast("bigint").alias("ord"), F.col("label").cast(label_kind).alias("label")).distinct()
+    return near.groupBy("start").applyInArrow(walk, f"start {kind}, node {kind}, depth int, place int")
+
+
 def ancestors(parents: DataFrame) -> DataFrame:
     """id, ancestor, depth (0 is the node itself) over parents(id, parent). The known span doubles each round, until a round finds nothing.
 

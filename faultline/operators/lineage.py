@@ -1,7 +1,7 @@
 """Field lineage: where a field is read, written, validated and transformed, as joins over syntax rows.
 
-Reach through calls is by least depth (a function met at the depth limit is still expanded if a shorter way leads to it), which is a
-superset of a depth-first search with one set of visited functions.
+Calls are followed depth first, in the order of the source, with one set of visited functions for each handler: a function that a long way met first
+is not followed again from a shorter one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import ids, text
 from ..sources.shared import written
-from .graph import reach
+from .graph import depth_first, reach
 
 
 @dataclass(frozen=True)
@@ -73,16 +73,16 @@ def model_parts(raw: DataFrame, models: DataFrame, rec: str) -> DataFrame:
 
 
 def call_graph(raw: DataFrame, funcs: DataFrame) -> DataFrame:
-    """src and dst (owners). A callee is the function of that full name, else the only one of its short name, else the only one in the caller's file, else in its module."""
-    calls = raw.filter("rec = 'callee'").select(F.col("owner").alias("src"), F.col("name").alias("callee"), F.col("file").alias("caller_file"), F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1).alias("caller_module")).distinct()
-    calls = calls.withColumn("short", F.substring_index("callee", ".", -1))
+    """src, dst (owners) and ord (place of the first such call). A callee is the function of that full name, else the only one of its short name, else the only one in the caller's file, else in its module."""
+    calls = raw.filter("rec = 'callee'").select(F.col("owner").alias("src"), F.col("name").alias("callee"), F.col("file").alias("caller_file"), F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1).alias("caller_module"), "ord")
+    calls = calls.groupBy("src", "callee", "caller_file", "caller_module").agg(F.min("ord").alias("ord")).withColumn("short", F.substring_index("callee", ".", -1))
     full = first_by(funcs, ["qname"], in_order()).select(F.col("qname").alias("callee"), F.col("owner").alias("full"))
     f = funcs.select(F.col("name").alias("short"), "file", F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1).alias("module"), "owner")
     alone = lambda keys: f.groupBy(*keys).agg(F.count("*").alias("n"), F.min("owner").alias("one")).filter("n = 1").drop("n")
     tiers = calls.join(full, "callee", "left").join(alone(["short"]).withColumnRenamed("one", "only"), "short", "left")
     tiers = tiers.join(alone(["short", "file"]).select("short", F.col("file").alias("caller_file"), F.col("one").alias("in_file")), ["short", "caller_file"], "left")
     tiers = tiers.join(alone(["short", "module"]).select("short", F.col("module").alias("caller_module"), F.col("one").alias("in_module")), ["short", "caller_module"], "left")
-    return tiers.select("src", F.coalesce("full", "only", "in_file", "in_module").alias("dst")).filter("dst is not null").distinct()
+    return tiers.select("src", F.coalesce("full", "only", "in_file", "in_module").alias("dst"), "ord").filter("dst is not null").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
 
 
 def entry_points(wanted: DataFrame, route: DataFrame, funcs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +139,8 @@ def lineage(raw: DataFrame, field_path: str, anchors: list[str], options: Lineag
     starts = handlers.filter("owner is not null").select(F.col("owner").alias("start")).distinct()
     # a handler counts at its own file; others are reached through calls
     calls = written(call_graph(raw, funcs), "calls") if options.max_call_depth else None
-    far = reach(calls, starts, options.max_call_depth) if calls is not None else starts.select("start", F.col("start").alias("node")).limit(0)
+    known = funcs.select(F.col("owner").alias("dst"), F.col("qname").alias("label"))  # one name is visited once, also where several functions bear it
+    far = depth_first(calls.join(known, "dst"), starts.join(known.withColumnRenamed("dst", "start"), "start"), options.max_call_depth) if calls is not None else starts.select("start", F.col("start").alias("node")).limit(0)
     near = far.select(F.col("node").alias("owner")).union(starts).distinct()
     near = written(near, "reached")
     models = written(model_classes(raw), "models")

@@ -1,11 +1,11 @@
-"""Driver queries of searches over the tables: many names in many texts, vectors through an inverted file, words through a kept index."""
+"""Driver queries of walks and searches over the tables: depth-first walks, many names in many texts, vectors through an inverted file, words through a kept index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import inverted, names
+from .operators import graph, inverted, names
 from .operators.lexical import LexicalIndex
 from .queries import _BM25, SEARCH, query, table
 from .sources.shared import written
@@ -57,3 +57,17 @@ def op_x02_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == 1:
             index.merge()
     return index.top(SEARCH, 25)[0].select(F.col("key").alias("doc_id"), "score")
+
+
+@query("""with recursive n as (select count(*) as n from part), e as (select p_partkey as src, [p_partkey // 3, p_size::bigint, (7 * p_partkey + 1) % n] as out from part, n),
+w(start, stack, seen) as (select p_partkey, [{'node': p_partkey, 'depth': 0}], []::struct(node bigint, depth int)[] from part
+union all select start, case when list_contains(list_transform(seen, lambda x: x.node), stack[1].node) or stack[1].depth = 3 then stack[2:] else list_concat(list_transform(coalesce(e.out, []), lambda x: {'node': x, 'depth': stack[1].depth + 1}), stack[2:]) end,
+case when list_contains(list_transform(seen, lambda x: x.node), stack[1].node) then seen else list_append(seen, stack[1]) end from w left join e on e.src = stack[1].node where len(stack) > 0),
+d as (select start, seen, unnest(range(1, len(seen) + 1)) as at_ from w where len(stack) = 0)
+select start, seen[at_].node as node, seen[at_].depth as depth, (at_ - 1)::int as place from d""")
+def op_g05_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a depth-first walk of three steps meets from each part, in its order, with one set of visited parts for each walk."""
+    p = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), p.count()
+    edges = p.select(k.alias("src"), F.posexplode(F.array(F.floor(k / 3), F.col("p_size").cast("bigint"), (7 * k + 1) % n)).alias("ord", "dst"))
+    return graph.depth_first(edges.withColumn("label", F.col("dst")), p.select(k.alias("start"), k.alias("label")), 3)

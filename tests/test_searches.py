@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.operators import extract, inverted, names, retrieval
+from faultline.operators import extract, graph, inverted, names, retrieval
 from faultline.operators.lexical import LexicalIndex
 from faultline.operators.ordering import placed
 
@@ -125,3 +125,30 @@ def test_syntax_rows_from_sql(spark):
     want = [x for p, t in sources.items() for x in extract.scan_text(p, (t or "\n").encode())]
     said = lambda x: (x["file"], x["rec"], x["ord"], x["name"], x["line"], x["items"] and tuple(x["items"]), re.sub(r"\s+", " ", str(sorted((x["extra"] or {}).items()))))
     assert sorted(map(said, (r.asDict() for r in rows)), key=str) == sorted(map(said, want), key=str)
+
+
+def plain_walk(edges, start, label, labels, depth):
+    seen, out = set(), []
+
+    def visit(node, steps):
+        if labels[node] in seen:
+            return
+        seen.add(labels[node])
+        out.append((start, node, steps, len(out)))
+        if steps < depth:
+            for _, dst in sorted(edges.get(node, [])):
+                visit(dst, steps + 1)
+
+    visit(start, 0)
+    return out
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 4])
+def test_depth_first_is_a_plain_recursion(spark, depth):
+    r = random.Random(depth)
+    labels = {k: k if k % 5 else k // 10 for k in range(60)}  # some nodes count as the same
+    edges = {k: [(o, r.randrange(60)) for o in range(r.randint(0, 4))] for k in range(60)}
+    rows = [(k, d, o, labels[d]) for k, e in edges.items() for o, d in e]
+    starts = list(range(0, 60, 4)) + [0]
+    got = graph.depth_first(spark.createDataFrame(rows, "src int, dst int, ord int, label int"), spark.createDataFrame([(s, labels[s]) for s in starts], "start int, label int"), depth).collect()
+    assert sorted(map(tuple, got)) == sorted(x for s in set(starts) for x in plain_walk(edges, s, labels[s], labels, depth))
