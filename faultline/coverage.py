@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import ids, text
-from .operators import extract, graph, history, impact, lineage, retrieval, structure, testsel
+from .operators import extract, graph, history, impact, lineage, ordering, retrieval, structure, testsel
 from .plans import engine, intent, settings, warm_up
 from .plans.engine import Engine
 from .queries import _BM25, _CANDIDATES, PROJECT, SEARCH, _candidates, _history, _raw, query, table
@@ -230,7 +230,8 @@ def op_s05_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select row_number() over (order by path) - 1 as place, path from (select distinct replace(p_brand, '#', '') || '/' || p_size || '.py' as path from part)")
 def op_t09_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of a scan in their order."""
-    return placed(files.listed(table(spark, sf_dir, "part").select(F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("/"), F.col("p_size").cast("string"), F.lit(".py")).alias("path"))), "path")
+    paths = files.listed(table(spark, sf_dir, "part").select(F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("/"), F.col("p_size").cast("string"), F.lit(".py")).alias("path")))
+    return ordering.placed(paths.select("path"), "path")
 
 
 @query(values("step, said", [("escape", "refused"), ("inside", "x = 1\n"), ("link", "refused"), ("missing", "missing"), ("pytest.ini", "a,b"), ("pyproject.toml", "p"), ("setup.cfg", "c"), ("none", ""), ("no repository", "null,true"), ("new repository", "true,false"), ("changed", "true,true")]))

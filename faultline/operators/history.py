@@ -60,18 +60,21 @@ def coupling(touches: DataFrame, targets: DataFrame, alias: DataFrame, dates: Da
     whole = hits.groupBy("target").agg(F.sum("w").alias("whole"), F.count("*").alias("target_support"))
     with_ = hits.join(touches, "sha").join(names.select("target", F.col("path")), ["target", "path"], "left_anti")
     with_ = with_.join(alias.select("path", "canonical"), "path", "left").withColumn("coupled", F.coalesce("canonical", "path"))
-    seen = with_.join(dates.select("ord", "sha", "date", "message"), "sha")
+    seen = with_.join(dates.select("ord", "sha"), "sha").select("target", "coupled", "w", "ord", "sha")
+    if examples:
+        seen = written(seen, "pairs")  # the join of commits with themselves is made once, for weights and for examples
     by = seen.groupBy("target", "coupled").agg(F.sum("w").alias("w"), F.count("*").alias("support"))
     out = by.join(whole, "target").select("target", "coupled", share(F.col("w"), F.col("whole")).alias("weight"), "support")
     place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("weight"), F.desc("support"), "coupled"))
     out = out.withColumn("place", place).filter(F.col("place") <= max_files)
     if not examples:
         return out
-    # the newest commits of each pair that stays; a rank limits a pair's rows before they are shuffled
+    # the newest commits of each pair that stays; a rank limits a pair's rows before they are shuffled, and what is told of a commit is joined to these alone
+    out = written(out, "couplings")
+    newest = F.dense_rank().over(Window.partitionBy("target", "coupled").orderBy("ord", F.substring("sha", 1, 12), "sha"))
+    shown = seen.join(out.select("target", "coupled"), ["target", "coupled"], "left_semi").withColumn("n", newest).filter(F.col("n") <= examples).select("target", "coupled", "ord", "sha").distinct()
     short = F.struct("ord", F.substring("sha", 1, 12).alias("sha"), "date", F.substring("message", 1, 120).alias("message"))
-    shown = seen.join(out.select("target", "coupled"), ["target", "coupled"], "left_semi").select("target", "coupled", short.alias("c"))
-    newest = F.dense_rank().over(Window.partitionBy("target", "coupled").orderBy("c"))
-    shown = shown.withColumn("n", newest).filter(F.col("n") <= examples).groupBy("target", "coupled").agg(F.array_sort(F.collect_set("c")).alias("examples"))
+    shown = shown.join(dates.select("ord", "sha", "date", "message"), ["ord", "sha"]).select("target", "coupled", short.alias("c")).groupBy("target", "coupled").agg(F.array_sort(F.collect_set("c")).alias("examples"))
     return out.join(shown, ["target", "coupled"]).select("target", "coupled", "weight", "support", "examples", "place")
 
 
