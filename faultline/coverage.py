@@ -303,6 +303,25 @@ def op_t11_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.evicted(rows, 1_000_000, 2.0).select("cache_key", F.substring("created_at", 1, 10).alias("day"), "size")
 
 
+_CACHED = """r as (select o_orderkey::varchar as cache_key, o_custkey::varchar as run_id, o_orderdate as created_at, '{"v":' || case when o_orderkey % 3 = 0 then -o_orderkey else o_orderkey end || '}' as response_json from orders)"""
+
+
+@query(f"""with {_CACHED}, k as (select *, sum(length(response_json) + 2) over (order by created_at desc, cache_key rows unbounded preceding) as size from r)
+select cache_key, run_id, response_json from k where size <= 100000""")
+def op_s16_cache_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is put in as a result, every third is replaced, and the oldest go until the rest has 100 kB."""
+    k = F.col("o_orderkey")
+    made = lambda rows, v: rows.select(
+        k.cast("string").alias("cache_key"), F.lit("tests").alias("tool_name"), F.lit("q").alias("query_id"), F.col("o_custkey").cast("string").alias("run_id"), F.lit("f").alias("repo_fingerprint_hash"),
+        F.lit("{}").alias("request_json"), F.concat(F.lit('{"v":'), v.cast("string"), F.lit("}")).alias("response_json"), F.lit(1).alias("timing_ms"), F.col("o_orderdate").cast("string").alias("created_at"),
+    )
+    orders, c = table(spark, sf_dir, "orders"), cache.ResultCache(spark, new_folder(spark, "cache"))
+    c.put("results", made(orders, k))
+    c.put("results", made(orders.filter(k % 3 == 0), -k))
+    c.clean(max_age_days=1_000_000, max_size_mb=0.1)
+    return c.table("results").select("cache_key", "run_id", "response_json")
+
+
 @query(values("step, n, said", [("results", 2, "{\"v\":3}"), ("lost", 0, None), ("runs", 1, "first"), ("artifacts", 1, "second"), ("stats", 1, "1 2 1"), ("young", 0, "1 2 1"), ("old", 2, "1 0 1")]))
 def op_s16_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results and artifacts are replaced, the first run of an id stays, lookups by key, counts, expiry."""
