@@ -40,7 +40,8 @@ SEGMENT_BITS = 20
 WORDS_HELD, PLACES_HELD = 400_000, 1 << 22
 #: Rows of a range that is sorted at once.
 RANGE_ROWS = 1 << 20
-BLOCK_BYTES = 4 << 20
+#: Rows of a language that are ranked in one place.
+RANKED_ROWS = 100_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n")
 
 
@@ -308,6 +309,20 @@ def scored(phrases: DataFrame, parts: DataFrame, width: int) -> DataFrame:
     return least.select("key", "x.*")
 
 
+def first_ones(rows: DataFrame, top: int, held: int = RANKED_ROWS) -> DataFrame:
+    """Of each language the rows that are among its ``top`` by score and count, ties included. A hot language is dealt to groups of about ``held`` rows, which keep their own first ones, until few are left."""
+    n = rows.count()
+    while n > held:
+        salt = F.pmod(F.xxhash64("key"), F.lit(-(-n // held)))
+        own = Window.partitionBy("lang", "salt").orderBy(F.desc("score"), F.desc("f"))
+        rows = S.stash(rows.withColumn("salt", salt).withColumn("place", F.rank().over(own)).filter(F.col("place") <= top).drop("salt", "place"), "phrase-first")
+        before, n = n, rows.count()
+        if 2 * n > before:  # many languages or many ties: groups are small, or cannot be less
+            break
+    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"))
+    return rows.withColumn("place", F.rank().over(by)).filter(F.col("place") <= top)
+
+
 def mine(df: DataFrame, min_count: int = MIN_COUNT, lengths: tuple[int, int] = LENGTHS, top: int = TOP, broadcast_words: int = BROADCAST_WORDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a (places), l, r (places of the two parts of its lowest cut), n (words of the language), score."""
     shortest, longest = lengths
@@ -342,8 +357,7 @@ def mine(df: DataFrame, min_count: int = MIN_COUNT, lengths: tuple[int, int] = L
     left = left.withColumn("begin", F.expr(f"substring(key, 1, {width})")).join(speech, "begin").drop("begin")
     best = S.stash(scored(left, parts, width), "phrase-scores")
     # words are put in for those that can be among the first, ties included
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"))
-    near = best.withColumn("place", F.rank().over(by)).filter(F.col("place") <= top)
+    near = first_ones(best, top)
     spelled = near.select("key", F.posexplode(F.expr(f"transform(sequence(1, words), k -> substring(key, (k - 1) * {width} + 1, {width}))")).alias("at", "word_key"))
     spelled = spelled.join(dictionary.select(byte_key.alias("word_key"), F.col("word").cast("string").alias("word")), "word_key").groupBy("key")
     spelled = spelled.agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"])).alias("phrase"))

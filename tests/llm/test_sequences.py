@@ -192,6 +192,14 @@ def test_scores_beyond_64_bits(spark):
     assert [int(r.score) for r in collocations.scored(phrases, parts, 1).collect()] == [1000 * a * n // (left * right)]
 
 
+def test_first_ones_of_a_hot_language(spark):
+    r = random.Random(7)
+    rows = [(b"%d" % k, "en" if k % 10 else "de", r.randint(0, 400), r.randint(1, 3)) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "`key` binary, lang string, score int, f int")
+    got = {held: sorted(bytes(x.key) for x in collocations.first_ones(frame, 50, held).collect()) for held in (100_000, 400)}
+    assert got[400] == got[100_000] and len(got[400]) >= 100
+
+
 def test_radix_order_is_byte_order():
     keys = np.random.default_rng(1).integers(0, 4, (500, 7)).astype(np.uint8)
     assert [keys[k].tobytes() for k in collocations.radix_order(keys)] == sorted(k.tobytes() for k in keys)
