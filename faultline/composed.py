@@ -256,3 +256,11 @@ def op_a40_part_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports, references, literals and node ids of all suppliers' test modules."""
     raw = extract.extract_lines(test_lines(spark, sf_dir))
     return raw.filter(F.col("rec").isin("module_import", "symbol_import", "name_ref", "literal", "test_item")).select("rec", "file", "name", "qname")
+
+
+@query("""with l as (select distinct l_suppkey as s, l_partkey as k, 'tests/test_supplier_' || l_suppkey || '.py' as file from lineitem), t as (select s, file, min(k) as k from l group by all)
+select file, string_agg(word, ',' order by word) as words from (select file, unnest(['Part' || k, 'size', 'supply_' || s, 'part_size']) as word from t) group by file""")
+def op_u08_test_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different names and literals of each test module together."""
+    raw = extract.extract_lines(test_lines(spark, sf_dir)).filter(F.col("rec").isin("name_ref", "literal"))
+    return raw.groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("words"))
