@@ -9,7 +9,7 @@ what each word alone would get.
 
 Defined results: null text is the empty text, which has no ids and decodes to the empty text; special
 tokens written out in a text become their ids, as the tokenizers library has it; repeated rows and
-ties give a row each; other columns are ignored.
+ties give a row each; very long texts are encoded whole, block by block; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

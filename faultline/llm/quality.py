@@ -10,7 +10,8 @@ hot host costs a row per task. Only refused hosts are joined back: they are broa
 ``BROADCAST_HOSTS`` rows, and beyond that joined by a salted key, so that one host's documents spread.
 
 Defined results: null text has no words; null and empty hosts are not judged; a host is the host name of a URL, else the
-value as it stands, in lower case; equal rows count each; an empty table gives no row; other columns are ignored.
+value as it stands, in lower case; equal rows count each; very long texts are
+measured whole; hosts of equal rates are judged alike; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
