@@ -46,11 +46,16 @@ h as (select t.path as target, t.sha, n.w from t join n using (sha)), whole as (
 p as (select h.target, t.path as coupled, h.sha, h.w from h join t on t.sha = h.sha and t.path <> h.target)"""
 
 
-def _coupling(spark: SparkSession, sf_dir: str, top: int, examples: int = schemas.EXAMPLE_COMMITS) -> DataFrame:
-    touches = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_suppkey").alias("path")).distinct()
+def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of orders, each once; an order's rows lie together from the first shuffle on."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_suppkey").alias("path")).repartition("sha").distinct()
+
+
+def _coupling(spark: SparkSession, sf_dir: str, top: int | None, examples: int = schemas.EXAMPLE_COMMITS) -> DataFrame:
+    touches = _touches(spark, sf_dir)
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("message"))
     none = spark.createDataFrame([], "path bigint, component bigint, canonical bigint")
-    return history.coupling(touches, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target")), none, dates, top, examples)
+    return history.coupling(touches, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target")), none, dates, top, examples, ())
 
 
 @query(f"""with {_PAIRS}, c as (select target, coupled, round_even(least(1.0, sum(w) / any_value(whole)), 4) as weight, count(*) as support from p join whole using (target) group by target, coupled),
@@ -65,7 +70,7 @@ def op_g10_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
 select target, coupled, support, array_to_string(shas, ',') as examples from c""")
 def op_g12_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three commits of each pair."""
-    c = _coupling(spark, sf_dir, 1 << 30)
+    c = _coupling(spark, sf_dir, None)
     return c.select("target", "coupled", "support", F.array_join(F.transform("examples", lambda x: x["sha"]), ",").alias("examples"))
 
 
@@ -433,11 +438,11 @@ p as (select h.target, a.canonical as coupled, h.w from h join t using (sha) joi
 select target, coupled, round_even(least(1.0, sum(w) / any_value(whole)), 4) as weight, count(*) as support from p join whole using (target) group by target, coupled""")
 def op_j16_alias_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-change with the suppliers of a nation as names of one file."""
-    touches = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_suppkey").alias("path")).distinct()
+    touches = _touches(spark, sf_dir)
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_nationkey").alias("component"))
     alias = s.join(s.groupBy("component").agg(F.max("path").alias("canonical")), "component")
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderpriority").alias("message"))
-    return history.coupling(touches, s.select(F.col("path").alias("target")), alias, dates, 1 << 30).select("target", "coupled", "weight", "support")
+    return history.coupling(touches, s.select(F.col("path").alias("target")), alias, dates, None, 0).select("target", "coupled", "weight", "support")
 
 
 @query("select doc_id, greatest(1, ceil((n_chars - 64) / 448.0))::bigint as n_chunks from documents")
