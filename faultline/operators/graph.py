@@ -81,14 +81,23 @@ def depth_first(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 def ancestors(parents: DataFrame) -> DataFrame:
     """id, ancestor, depth (0 is the node itself) over parents(id, parent). The known span doubles each round, until a round finds nothing.
 
+    A round goes on from the pairs that are exactly as far apart as the span reaches, so each pair is met once for each way of that length to it and written once.
     Parents may form a circle: a walk ends where it would meet its own node again, so each node meets each other one once, at its least depth.
     """
-    up = written(parents.filter("parent is not null and parent != id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestors")
-    known, found = 0, up.count()
-    while found > known:
-        more = up.alias("x").join(up.alias("y"), F.col("x.ancestor") == F.col("y.id")).filter("x.id != y.ancestor").select("x.id", "y.ancestor", (F.col("x.depth") + F.col("y.depth")).alias("depth"))
-        up = written(up.unionAll(more).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
-        known, found = found, up.count()
+    spark, folder, span = parents.sparkSession, new_folder(parents.sparkSession, "ancestors"), 1
+    first = parents.filter("parent is not null and parent != id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    shape = first.schema
+    first.write.parquet(f"{folder}/span={span}")
+    while True:
+        known = spark.read.schema(shape).parquet(folder).select(*shape.names)
+        far = spark.read.schema(shape).parquet(f"{folder}/span={span}").filter(F.col("depth") == span)
+        more = far.alias("x").join(known.alias("y"), F.col("x.ancestor") == F.col("y.id")).filter("x.id != y.ancestor")
+        more = more.groupBy("x.id", "y.ancestor").agg(F.min(F.col("x.depth") + F.col("y.depth")).alias("depth"))
+        span *= 2
+        more.join(known, ["id", "ancestor"], "left_anti").select(*shape.names).write.parquet(f"{folder}/span={span}")
+        if spark.read.schema(shape).parquet(f"{folder}/span={span}").isEmpty():
+            break
+    up = spark.read.schema(shape).parquet(folder).select(*shape.names)
     return parents.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).distinct().unionAll(up)
 
 
