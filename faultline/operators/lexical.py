@@ -21,7 +21,6 @@ from .. import schemas
 from ..functions import text
 from ..sources.shared import new_folder
 from . import retrieval
-from .ordering import placed
 
 BUCKETS, BLOCK_DOCS, MOST_SEGMENTS = 32, 1_024, 8
 #: Blocks that are scored first, to learn what the k best reach at least.
@@ -79,17 +78,19 @@ class LexicalIndex:
 
     def _write_blocks(self, rows: DataFrame, name: str) -> None:
         """rows(token, block, key, tf, length) as rows of a token and a block."""
-        packed = rows.groupBy("token", "block").agg(F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("postings"))  # at most BLOCK_DOCS
+        # dealt by what the files are cut by, which the groups share, so that rows are shuffled once
+        dealt = rows.withColumns({"bucket": bucket_of(F.col("token")), "share": F.col("block") % 16}).repartition("bucket", "share")
+        packed = dealt.groupBy("bucket", "share", "token", "block").agg(F.array_sort(F.collect_list(F.struct("key", "tf", "length"))).alias("postings"))  # at most BLOCK_DOCS
         bounds = [F.size("postings").alias("n"), F.array_max(F.transform("postings", lambda p: p["tf"])).alias("most"), F.array_min(F.transform("postings", lambda p: p["length"])).alias("shortest")]
-        packed = packed.select("token", "block", "postings", *bounds, bucket_of(F.col("token")).alias("bucket"))
-        packed.repartition("bucket", F.col("block") % 16).sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{self.root}/blocks/segment={name}")
+        packed = packed.select("token", "block", "postings", *bounds, "bucket")
+        packed.sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{self.root}/blocks/segment={name}")
 
     def add(self, docs: DataFrame, key: str, body: Column) -> Version:
         """Take in docs as one segment."""
         old = self.latest()
         name = uuid.uuid4().hex
-        numbered = placed(docs.select(F.col(f"`{key}`").alias("key"), body.alias("body")), "key", column="number")
-        own = numbered.withColumn("block", F.floor(F.col("number") / BLOCK_DOCS)).select("key", "block", "body")
+        # numbered where they are read, each part of docs from a number of its own that BLOCK_DOCS divides, so no text is shuffled or written
+        own = docs.select(F.col(f"`{key}`").alias("key"), F.floor(F.monotonically_increasing_id() / BLOCK_DOCS).alias("block"), body.alias("body"))
         p = retrieval.postings(own.select(F.struct("key", "block").alias("doc"), "body"), "doc", F.col("body")).select("doc.key", "doc.block", "token", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
         self._write_blocks(p, name)
         blocks = self._read("blocks", (name,))
