@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.shared import importable, new_folder, written
+from ..sources.shared import importable, new_folder, parts_of, written
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
@@ -74,7 +74,10 @@ def depth_first(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         n = len(out)
         return pa.table({"start": pa.array([start] * n, node_type), "node": pa.array([x for x, _ in out], node_type), "depth": pa.array([d for _, d in out], pa.int32()), "place": pa.array(range(n), pa.int32())})
 
-    near = near.select("start", "own", "src", "dst", F.col("ord").cast("bigint").alias("ord"), F.col("label").cast(label_kind).alias("label")).distinct()
+    # a walk's rows are dealt once, for their distinct rows and for the walk, to as many tasks as the edges around all starts take
+    spread = own.agg(F.count("*").alias("n"), F.count_distinct("src").alias("of")).first()
+    rows = around.count() * -(-spread["n"] // max(1, spread["of"]))
+    near = near.repartition(parts_of(spark, rows), "start").select("start", "own", "src", "dst", F.col("ord").cast("bigint").alias("ord"), F.col("label").cast(label_kind).alias("label")).distinct()
     return near.groupBy("start").applyInArrow(walk, f"start {kind}, node {kind}, depth int, place int")
 
 

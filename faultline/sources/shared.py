@@ -10,6 +10,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts or groups at most, where their number is known beforehand.
+ROWS_EACH = 500_000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -38,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(spark: SparkSession, rows: int, rows_each: int = ROWS_EACH) -> int:
+    """Partitions for so many rows: Spark's own number, and more where one would hold more than ``rows_each``. A number given to repartition is kept as it is."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
+
+
 def importable(spark: SparkSession) -> None:
     """Send this package to Python workers that would not find it."""
     places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()]
