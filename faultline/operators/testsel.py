@@ -21,6 +21,7 @@ class SelectionOptions:
     transitive_depth: int = 2
     include_literal_field_matches: bool = True
     coverage_mode: str = "off"
+    partitions: int | None = None  # for what is grouped by long keys; None: Spark's own number
 
 
 def discover(files: DataFrame, configured: list[str] | None = None) -> DataFrame:
@@ -52,7 +53,8 @@ def reasons(impacted: DataFrame, imports: DataFrame, symbols: DataFrame, refs: D
     by_symbol = symbols.join(named.select("module", F.col("symbol").alias("name"), F.col("module").alias("of"), F.col("symbol").alias("wanted")), ["module", "name"])
     by_module = symbols.withColumn("of", F.concat_ws(".", "module", "name")).join(named.select(F.col("module").alias("of"), F.col("symbol").alias("wanted")), "of")
     both = by_symbol.select("file", "of", "wanted", "module", "name").unionByName(by_module.select("file", "of", "wanted", "module", "name"))
-    one = both.groupBy("file", "of", "wanted").agg(F.min(F.format_string("from %s import %s", "module", "name")).alias("evidence"))
+    dealt = lambda df, *keys: df.repartition(options.partitions, *keys) if options.partitions else df
+    one = dealt(both, "file", "of", "wanted").groupBy("file", "of", "wanted").agg(F.min(F.format_string("from %s import %s", "module", "name")).alias("evidence"))
     add(one, "from_import_symbol", F.col("evidence"), w["from_import_symbol"])
     if options.include_transitive and options.transitive_depth > 0 and edges is not None:
         far = reach(edges, imports.select(F.col("module").alias("start")).distinct(), options.transitive_depth)
@@ -65,7 +67,7 @@ def reasons(impacted: DataFrame, imports: DataFrame, symbols: DataFrame, refs: D
     all_ = out[0]
     for df in out[1:]:
         all_ = all_.unionByName(df)
-    return all_.dropDuplicates(["file", "type", "evidence"])
+    return dealt(all_, "file", "evidence").dropDuplicates(["file", "type", "evidence"])
 
 
 def capped(score: Column) -> Column:
