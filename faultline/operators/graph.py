@@ -35,6 +35,18 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     return spark.read.schema(met).parquet(folder).filter("depth > 0")
 
 
+def chain_ends(links: DataFrame) -> DataFrame:
+    """node, end of links(node, up), one for each node: where the way up from it ends. A round doubles the steps; a way into a circle ends somewhere on the circle."""
+    ways = written(links.select("node", F.col("up").alias("end")), "chain-ends")
+    for _ in range(ways.count().bit_length()):
+        further = ways.select(F.col("node").alias("end"), F.col("end").alias("further"))
+        met = written(ways.join(further, "end", "left").select("node", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), "chain-ends")
+        ways = met.select("node", "end")
+        if met.filter("moved").isEmpty():
+            break
+    return ways
+
+
 def depth_first(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, node, depth, place: what a depth-first walk of at most ``depth`` steps from each start meets, in its order; the start itself has place 0.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import ids, text
 from ..sources.shared import written
-from .graph import depth_first, reach
+from .graph import chain_ends, depth_first, reach
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,11 @@ def model_classes(raw: DataFrame) -> DataFrame:
     by_name = first_by(classes, ["name"], in_order(), last=True).select("name", "bases")
     root = lambda b: b.isin(*schemas.MODEL_ROOTS) | b.endswith("BaseModel")
     by_name = written(by_name, "class-names")
-    edges = by_name.select(F.col("name").alias("dst"), F.explode("bases").alias("src"))
     good = by_name.filter(F.exists("bases", root)).select("name")
+    # a name with one base descends from a root if the end of the chain of such names does, so reach goes over ends and over names with several bases
+    open_ = by_name.filter(~F.exists("bases", root)).select("name", F.array_distinct("bases").alias("bases"))
+    single = chain_ends(open_.filter(F.size("bases") == 1).select(F.col("name").alias("node"), F.col("bases")[0].alias("up")))
+    edges = single.select(F.col("node").alias("dst"), F.col("end").alias("src")).unionByName(open_.filter(F.size("bases") > 1).select(F.col("name").alias("dst"), F.explode("bases").alias("src")))
     # names that lead to a root: from the roots, as one start, over base -> class
     above = F.lit("\x01roots").alias("start")
     tops = good.select(above.alias("src"), F.col("name").alias("dst"))
