@@ -41,12 +41,13 @@ def _filled(template: str, **columns: Column) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
-def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, content of the parts' modules. Line items are dealt by part once; handlers and modules are put together where they are then, so no line of text is shuffled."""
+def part_files(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """path, content of the parts' modules, or of those of of(file) alone. Line items are dealt by part once; handlers and modules are put together where they are then, so no line of text is shuffled."""
     k, s = F.col("k"), F.col("s")
     text = lambda lines: F.array_join(lines, "\n", "")
     items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("s"), F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity")).alias("item"))
-    items = items.filter("k is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    some = lambda df: df if of is None else df.withColumn("file", _filled("shop/part_{k}.py", k=k)).join(of, "file", "left_semi").drop("file")
+    items = some(items.filter("k is not null")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     blocks = items.groupBy("k", "s").agg(F.array_sort(F.collect_list("item")).alias("items"))
     blocks = blocks.withColumn("callee", F.coalesce(F.concat(F.lit("supply_"), F.lead("s").over(Window.partitionBy("k").orderBy("s"))), F.lit("describe")))
     w = {"k": k, "s": s, "is_async": F.when(s % 2 == 0, "async ").otherwise("")}
@@ -59,7 +60,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base": F.when(base.isNotNull(), F.concat(F.lit("Part"), base)).otherwise("BaseModel"),
         "base_import": F.when(base.isNotNull(), F.concat(F.lit("from shop.part_"), base, F.lit(" import Part"), base)).otherwise("import decimal"),
     }
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size", "p_name", "p_type", "p_brand").join(handlers.hint("merge"), "k", "left")
+    p = some(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size", "p_name", "p_type", "p_brand")).join(handlers.hint("merge"), "k", "left")
     lines = F.concat(F.array(*(_filled(t, **words) for t in HEAD)), F.coalesce("handlers", F.array().cast("array<string>")), F.array(F.lit("")))
     return p.select(_filled("shop/part_{k}.py", k=k).alias("path"), text(lines).cast("binary").alias("content"))
 
@@ -235,11 +236,13 @@ def op_g05_part_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     if most is None:
         most = {"l_partkey": 0, "s": 0}
     k, s = most["l_partkey"], most["s"]
-    raw = kept_rows(spark, sf_dir, "func", "route", "callee", "access", "class", "field", "serializer", "validator", "guard", "transform")
-    sites = lineage.lineage(raw, f"Part{k}.size", [f"route:POST /parts/{k}/{s}"])["sites"]
+    raw = kept_rows(spark, sf_dir, "func", "route", "class", "field", "serializer", "validator")
+    # what functions hold is asked for the files alone that the walk meets
+    inside = lambda files: written(extract.extract(part_files(spark, sf_dir, written(files, "files")), ("callee", "access", "guard", "transform")), "inside")
+    sites = lineage.lineage(raw, f"Part{k}.size", [f"route:POST /parts/{k}/{s}"], inside=inside)["sites"]
     symbols = raw.filter("rec = 'func'").select("qname", "file", "line").unionByName(raw.filter("rec = 'class'").select(F.col("name").alias("qname"), "file", "line"))
     symbols = symbols.select(F.col("qname").alias("enclosing"), F.col("line").cast("bigint").alias("begins"), ids.symbol_id(F.col("qname"), F.col("file"), F.col("line")).alias("enclosing_symbol_id"))
-    return placed(sites.join(symbols, "enclosing_symbol_id").select("kind", "access_pattern", "file", F.col("line").cast("bigint").alias("line"), "col", "enclosing", "begins"), "kind", "file", "line", "col")
+    return placed(symbols.join(F.broadcast(sites), "enclosing_symbol_id").select("kind", "access_pattern", "file", F.col("line").cast("bigint").alias("line"), "col", "enclosing", "begins"), "kind", "file", "line", "col")
 
 
 @query(f"""with {_SHOP} select file, name, line, end_line, sha256(text) as digest from (

@@ -6,6 +6,7 @@ is not followed again from a shorter one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,9 +38,11 @@ def in_order() -> Column:
     return F.struct("file", "ord")
 
 
-def routes(raw: DataFrame) -> DataFrame:
-    """One row for each METHOD /path; the last definition wins."""
+def routes(raw: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """One row for each METHOD /path, or of those in wanted(route) alone; the last definition wins."""
     r = raw.filter("rec = 'route'").withColumn("route", F.concat_ws(" ", "kind", "text"))
+    if wanted is not None:
+        r = r.join(wanted, "route", "left_semi")
     return first_by(r, ["route"], in_order(), last=True).select("route", F.col("kind").alias("method"), F.col("text").alias("path"), F.col("name").alias("handler_name"), F.col("qname").alias("handler_qname"), "file", "line", "end_line", "col")
 
 
@@ -75,10 +78,15 @@ def model_parts(raw: DataFrame, models: DataFrame, rec: str) -> DataFrame:
     return raw.filter(F.col("rec") == rec).withColumn("class_line", F.col("extra")["class_line"].cast("int")).join(m, ["file", "owner", "class_line"])
 
 
-def call_graph(raw: DataFrame, funcs: DataFrame) -> DataFrame:
-    """src, dst (owners) and ord (place of the first such call). A callee is the function of that full name, else the only one of its short name, else the only one in the caller's file, else in its module."""
+def call_graph(raw: DataFrame, funcs: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+    """src, dst (owners) and ord (place of the first such call), or those of callers(src) alone. A callee is the function of that full name, else the only one of its short name, else the only one in the caller's file, else in its module."""
     calls = raw.filter("rec = 'callee'").select(F.col("owner").alias("src"), F.col("name").alias("callee"), F.col("file").alias("caller_file"), F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1).alias("caller_module"), "ord")
+    if callers is not None:
+        calls = calls.join(callers, "src", "left_semi")
     calls = calls.groupBy("src", "callee", "caller_file", "caller_module").agg(F.min("ord").alias("ord")).withColumn("short", F.substring_index("callee", ".", -1))
+    if callers is not None:  # a function's full name ends with its name, so functions of other names are none of these callees
+        calls = written(calls, "calls-of-some")
+        funcs = written(funcs.join(calls.select(F.col("short").alias("name")).distinct(), "name", "left_semi"), "functions-of-some")
     full = first_by(funcs, ["qname"], in_order()).select(F.col("qname").alias("callee"), F.col("owner").alias("full"))
     f = funcs.select(F.col("name").alias("short"), "file", F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1).alias("module"), "owner")
     alone = lambda keys: f.groupBy(*keys).agg(F.count("*").alias("n"), F.min("owner").alias("one")).filter("n = 1").drop("n")
@@ -88,6 +96,27 @@ def call_graph(raw: DataFrame, funcs: DataFrame) -> DataFrame:
     return tiers.select("src", F.coalesce("full", "only", "in_file", "in_module").alias("dst"), "ord").filter("dst is not null").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
 
 
+Inside = Callable[[DataFrame], DataFrame]
+
+
+def within(raw: DataFrame, inside: Inside | None, owners: DataFrame) -> DataFrame:
+    """Rows of what the functions of owners hold: those of their files, asked from ``inside``, or all that raw has."""
+    return raw if inside is None else inside(owners.select(F.split(owners.columns[0], "\n")[0].alias("file")).distinct())
+
+
+def calls_around(raw: DataFrame, funcs: DataFrame, starts: DataFrame, depth: int, inside: Inside | None = None) -> DataFrame:
+    """The part of the call graph that walks of at most ``depth`` steps from starts(start) can meet."""
+    front = met = written(starts.select(F.col("start").alias("src")).distinct(), "callers")
+    found = written(call_graph(within(raw, inside, front), funcs, front), "calls")
+    for _ in range(depth - 1):
+        front = written(found.select(F.col("dst").alias("src")).distinct().join(met, "src", "left_anti"), "callers")
+        if front.isEmpty():
+            break
+        met = met.unionByName(front)
+        found = found.unionByName(written(call_graph(within(raw, inside, front), funcs, front), "calls"))
+    return found
+
+
 def entry_points(wanted: DataFrame, route: DataFrame, funcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Handlers and diagnostics of wanted(pos, anchor): ``route:METHOD /path``, ``symbol:file:name`` or ``symbol:name``."""
     w = wanted.withColumns({
@@ -95,6 +124,9 @@ def entry_points(wanted: DataFrame, route: DataFrame, funcs: DataFrame) -> tuple
         "symbol": F.when(F.col("anchor").startswith("symbol:"), F.expr("substring(anchor, 8)")),
     }).withColumns({"in_file": F.when(F.col("symbol").contains(":"), F.regexp_extract("symbol", r"^(.*):([^:]*)$", 1)), "name": F.when(F.col("symbol").contains(":"), F.regexp_extract("symbol", r"^(.*):([^:]*)$", 2)).otherwise(F.col("symbol"))})
     fields = ["pos", "anchor", "file", "qname", "line", "col", "end_line", "confidence", "owner"]
+    route = written(route, "wanted-routes")
+    named = w.select("name").filter("name is not null").union(w.join(route, "route").select("handler_name")).distinct()
+    funcs = written(funcs.join(written(named, "wanted-names"), "name", "left_semi"), "wanted-functions")
     f_first = first_by(funcs, ["file", "name"], F.col("ord")).select("file", "name", F.col("owner").alias("named"))
     r = w.join(route, "route").withColumnsRenamed({"handler_qname": "qname"}).withColumn("confidence", F.lit("high")).drop("name").withColumnRenamed("handler_name", "name")
     exact = first_by(funcs, ["file", "name", "line"], F.col("ord")).select("file", "name", "line", F.col("owner").alias("exact"))
@@ -130,22 +162,28 @@ def shared_aliases(fields: DataFrame) -> DataFrame:
     return of.filter(F.size("of") > 1).select("alias", F.array_join("of", ", ").alias("fields"))
 
 
-def lineage(raw: DataFrame, field_path: str, anchors: list[str], options: LineageOptions = LineageOptions()) -> dict[str, DataFrame]:
-    """entry_points, sites (kind read or write), validations, transforms, diagnostics and stats."""
+def lineage(raw: DataFrame, field_path: str, anchors: list[str], options: LineageOptions = LineageOptions(), inside: Inside | None = None) -> dict[str, DataFrame]:
+    """entry_points, sites (kind read or write), validations, transforms, diagnostics and stats.
+
+    Only functions that walks from the handlers meet are looked into. inside(files(file)) gives the rows callee, access, guard and transform of these files, which raw need
+    not have then; without it they are those of raw.
+    """
     spark = raw.sparkSession
     model_name, field = text.split_field(field_path)
     path, name = F.lit(field_path), F.lit(field)
     funcs = written(functions(raw), "functions")
     wanted = spark.createDataFrame(list(enumerate(anchors)), "pos int, anchor string")
-    handlers, diagnostics = entry_points(wanted, routes(raw), funcs)
+    asked = written(wanted.filter("anchor like 'route:%'").select(F.expr("substring(anchor, 7)").alias("route")), "asked-routes")
+    handlers, diagnostics = entry_points(wanted, routes(raw, asked), funcs)
     handlers = written(handlers, "handlers")
     starts = handlers.filter("owner is not null").select(F.col("owner").alias("start")).distinct()
     # a handler counts at its own file; others are reached through calls
-    calls = written(call_graph(raw, funcs), "calls") if options.max_call_depth else None
+    calls = calls_around(raw, funcs, starts, options.max_call_depth, inside) if options.max_call_depth else None
     known = funcs.select(F.col("owner").alias("dst"), F.col("qname").alias("label"))  # one name is visited once, also where several functions bear it
     far = depth_first(calls.join(known, "dst"), starts.join(known.withColumnRenamed("dst", "start"), "start"), options.max_call_depth) if calls is not None else starts.select("start", F.col("start").alias("node")).limit(0)
     near = far.select(F.col("node").alias("owner")).union(starts).distinct()
     near = written(near, "reached")
+    held = within(raw, inside, near)
     models = written(model_classes(raw), "models")
     fields = written(model_parts(raw, models, "field"), "fields")
     own = fields.filter((F.col("owner") == model_name) & (F.col("name") == name))
@@ -157,7 +195,7 @@ def lineage(raw: DataFrame, field_path: str, anchors: list[str], options: Lineag
         encl.alias("enclosing_symbol_id"), pattern.alias("access_pattern"), "if_removed", "if_renamed", "if_type_changed", F.lit("high").alias("confidence"), trimmed.alias("evidence_snippet"),
     )
     none = F.lit(None).cast("boolean")
-    met = raw.filter("rec = 'access'").join(near, "owner", "left_semi").join(F.broadcast(alias), "name", "left_semi")
+    met = held.filter("rec = 'access'").join(near, "owner", "left_semi").join(F.broadcast(alias), "name", "left_semi")
     met = met.withColumns({"if_removed": F.coalesce(F.col("extra")["has_default"], F.lit("false")) != "true", "if_renamed": F.lit(True), "if_type_changed": none})
     sites = site(met, F.col("kind"), symbol, F.col("qname"))
     class_symbol = ids.symbol_id(F.col("owner"), F.col("file"), F.col("class_line"))
@@ -178,11 +216,11 @@ def lineage(raw: DataFrame, field_path: str, anchors: list[str], options: Lineag
     owning = fields.filter(F.col("name") == name).select("file", "owner", "class_line").distinct()
     others = v.join(owning, ["file", "owner", "class_line"], "left_semi").withColumn("confidence", F.lit("low")).join(is_known, how="left_anti")
     shape = lambda df, encl: df.select(ids.short_id("val_", F.col("kind"), path, F.col("file"), F.col("line")).alias("id"), "kind", path.alias("field_path"), "file", "line", "col", encl.alias("enclosing_symbol_id"), F.col("text").alias("rule_summary"), "confidence")
-    guards = raw.filter("rec = 'guard'").join(starts.withColumnRenamed("start", "owner"), "owner", "left_semi").filter(F.array_contains("items", name))
+    guards = held.filter("rec = 'guard'").join(starts.withColumnRenamed("start", "owner"), "owner", "left_semi").filter(F.array_contains("items", name))
     guards = guards.withColumns({"kind": F.lit("custom_guard"), "text": F.substring(trimmed, 1, 120), "confidence": F.lit("medium")})
     validations = first_by(shape(mine.unionByName(others), class_symbol).unionByName(shape(guards, symbol)), ["id"], F.struct("file", "line", "col", "confidence"))
     # transforms
-    t = raw.filter("rec = 'transform'").join(near, "owner", "left_semi").join(F.broadcast(alias.withColumn("is_name", F.lit(True))), "name", "left")
+    t = held.filter("rec = 'transform'").join(near, "owner", "left_semi").join(F.broadcast(alias.withColumn("is_name", F.lit(True))), "name", "left")
     t = t.filter(F.when(F.col("kind") == "rename", F.col("is_name")).otherwise(F.array_contains("items", name)))
     transforms = t.select(
         ids.short_id("xform_", F.col("kind"), path, F.col("file"), F.col("line"), F.col("col")).alias("id"), "kind", path.alias("from_field"),
