@@ -170,9 +170,7 @@ union all select m || '.supply_' || s, callee, 'load', n from f)"""
 @query(f"with {_SHOP}, {_NODES}, {_REFS}, named as (select {_SYM} as id, qualified_name from nodes) select id as source, name, context, sum(times)::bigint as times from refs join named on qualified_name = source group by all")
 def op_a11_part_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each scope names what."""
-    options = structure.StructureOptions(include_import_edges=False, include_call_edges=False, include_inheritance_edges=False)
-    edges = structure.structure(kept_rows(spark, sf_dir, "node", "import", "ref"), options=options)["edges"]
-    return edges.groupBy("source", F.get_json_object("detail", "$.name").alias("name"), F.get_json_object("detail", "$.context").alias("context")).agg(F.count("*").alias("times"))
+    return structure.references(part_rows(spark, sf_dir, "ref", columns=("rec", "file", "scope", "scope_line", "name", "kind")))
 
 
 @query(f"""with {_SHOP} select 'access' as rec, m || '.describe' as qname, 'attribute' as kind, name, null as text, '' as items, false as is_write, 18::bigint as line, col from p, (values ('size', 15), ('get', 28)) v(name, col)

@@ -36,8 +36,21 @@ def nodes(raw: DataFrame) -> DataFrame:
     )
 
 
+def scope_id() -> Column:
+    """The symbol around a row of schemas.SCOPED."""
+    return ids.symbol_id(F.col("scope"), F.col("file"), F.col("scope_line"))
+
+
+def references(raw: DataFrame) -> DataFrame:
+    """source, name, context, times: how often each symbol names what, of rows with ``scope`` and ``scope_line`` (schemas.SCOPED). Where the names lead is not asked."""
+    named = raw.filter("rec = 'ref'").groupBy("file", "scope", "scope_line", "name", "kind").agg(F.count("*").alias("times"))
+    return named.select(scope_id().alias("source"), "name", F.col("kind").alias("context"), "times")
+
+
 def innermost(sites: DataFrame, scopes: DataFrame) -> DataFrame:
-    """sites(file, line, ..) with ``scope``: the smallest scope that holds the line, else the module's."""
+    """sites(file, line, ..) with ``scope``: the smallest scope that holds the line, else the module's. Sites that know it since their file was read (schemas.SCOPED) need no join."""
+    if "scope_line" in sites.columns:
+        return sites.withColumn("scope", scope_id()).drop("scope_line")
     inner = nesting.innermost_of(sites, scopes)
     module = scopes.filter("kind = 'module'").select("file", F.col("id").alias("module"))
     return sites.join(inner, ["file", "line"], "left").join(module, "file").withColumn("scope", F.coalesce("inner", "module")).drop("inner", "module")
