@@ -220,10 +220,8 @@ def op_a14_part_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_SHOP} select distinct m || '.supply_' || s as caller, m || '.' || unnest([callee, 'describe']) as callee from f")
 def op_j11_part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who calls whom, by full name, by the only one of the name, or by the one in the file."""
-    raw = kept_rows(spark, sf_dir, "func", "callee")
-    funcs = written(lineage.functions(raw), "functions")
-    of = lambda side: funcs.select(F.col("owner").alias(side), F.col("qname").alias(f"{side}_name"))
-    return lineage.call_graph(raw, funcs).drop("ord").join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"))
+    raw = kept_rows(spark, sf_dir, "func", "callee", columns=("file", "rec", "name", "qname", "owner", "ord"))
+    return lineage.call_graph(raw, raw.filter("rec = 'func'"), names=True).select(F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"))
 
 
 #: The part whose field is traced: the part with the most line items, then the least key.

@@ -78,22 +78,36 @@ def model_parts(raw: DataFrame, models: DataFrame, rec: str) -> DataFrame:
     return raw.filter(F.col("rec") == rec).withColumn("class_line", F.col("extra")["class_line"].cast("int")).join(m, ["file", "owner", "class_line"])
 
 
-def call_graph(raw: DataFrame, funcs: DataFrame, callers: DataFrame | None = None) -> DataFrame:
-    """src, dst (owners) and ord (place of the first such call), or those of callers(src) alone. A callee is the function of that full name, else the only one of its short name, else the only one in the caller's file, else in its module."""
-    calls = raw.filter("rec = 'callee'").select(F.col("owner").alias("src"), F.col("name").alias("callee"), F.col("file").alias("caller_file"), F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1).alias("caller_module"), "ord")
+def call_graph(raw: DataFrame, funcs: DataFrame, callers: DataFrame | None = None, names: bool = False) -> DataFrame:
+    """src, dst (owners) and ord (place of the first such call), or those of callers(src) alone; with their full names src_name and dst_name if asked. A callee is the function of that full name, else the only one of its short name, else the only one in the caller's file, else in its module.
+
+    Different callees are few, so each is looked for once by full and by short name; calls are dealt once, by file, to meet the functions there. A callee's short name is
+    the name of its function in all cases, so calls whose short name no function has are left out first.
+    """
+    module = F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1)
+    calls = raw.filter("rec = 'callee'").select(F.col("owner").alias("src"), F.col("qname").alias("src_name"), F.col("name").alias("callee"), "file", module.alias("module"), "ord")
     if callers is not None:
         calls = calls.join(callers, "src", "left_semi")
-    calls = calls.groupBy("src", "callee", "caller_file", "caller_module").agg(F.min("ord").alias("ord")).withColumn("short", F.substring_index("callee", ".", -1))
+    calls = calls.withColumn("short", F.substring_index("callee", ".", -1))
     if callers is not None:  # a function's full name ends with its name, so functions of other names are none of these callees
         calls = written(calls, "calls-of-some")
         funcs = written(funcs.join(calls.select(F.col("short").alias("name")).distinct(), "name", "left_semi"), "functions-of-some")
-    full = first_by(funcs, ["qname"], in_order()).select(F.col("qname").alias("callee"), F.col("owner").alias("full"))
-    f = funcs.select(F.col("name").alias("short"), "file", F.regexp_extract("qname", r"^(.*)\.[^.]*$", 1).alias("module"), "owner")
-    alone = lambda keys: f.groupBy(*keys).agg(F.count("*").alias("n"), F.min("owner").alias("one")).filter("n = 1").drop("n")
-    tiers = calls.join(full, "callee", "left").join(alone(["short"]).withColumnRenamed("one", "only"), "short", "left")
-    tiers = tiers.join(alone(["short", "file"]).select("short", F.col("file").alias("caller_file"), F.col("one").alias("in_file")), ["short", "caller_file"], "left")
-    tiers = tiers.join(alone(["short", "module"]).select("short", F.col("module").alias("caller_module"), F.col("one").alias("in_module")), ["short", "caller_module"], "left")
-    return tiers.select("src", F.coalesce("full", "only", "in_file", "in_module").alias("dst"), "ord").filter("dst is not null").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
+    f = funcs.select(F.col("name").alias("short"), "file", module.alias("module"), "qname", "ord", F.struct("owner", "qname").alias("it"))
+    alone = lambda df, keys: df.groupBy(*keys).agg(F.when(F.count("*") == 1, F.min("it")).alias("one"))
+    words = calls.select("callee", "short").distinct().join(alone(f, ["short"]).withColumnRenamed("one", "only"), "short")
+    words = written(words, "callees")
+    full = f.join(words.select(F.col("callee").alias("qname")), "qname", "left_semi").groupBy(F.col("qname").alias("callee")).agg(F.min_by("it", in_order()).alias("full"))
+    words = written(words.join(full, "callee", "left").select("callee", F.coalesce("full", "only").alias("anywhere")), "callees")
+    # a module of one file has no function that its file has not
+    shared = f.select("module", "file").distinct().groupBy("module").count().filter("count > 1").select("module")
+    in_module = written(alone(f.join(shared, "module", "left_semi"), ["short", "module"]).filter("one is not null").withColumnRenamed("one", "in_module"), "shared-modules")
+    held = f.select("file", "short", "it", *(F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in ("src", "src_name", "module", "ord")), F.lit(None).cast(f.schema["it"].dataType).alias("anywhere"))
+    met = calls.join(words, "callee").select("file", "short", F.lit(None).cast(f.schema["it"].dataType).alias("it"), "src", "src_name", "module", "ord", "anywhere")
+    of = Window.partitionBy("file", "short")
+    met = held.unionByName(met).repartition("file").withColumn("in_file", F.when(F.count("it").over(of) == 1, F.min("it").over(of))).filter("src is not null")
+    met = met.join(in_module, ["short", "module"], "left").withColumn("found", F.coalesce("anywhere", "in_file", "in_module")).filter("found is not null")
+    found = met.groupBy("file", "src", F.col("found.owner").alias("dst")).agg(F.min("ord").alias("ord"), F.first("src_name").alias("src_name"), F.first("found.qname").alias("dst_name"))
+    return found.select("src", "dst", "ord", *(["src_name", "dst_name"] if names else []))
 
 
 Inside = Callable[[DataFrame], DataFrame]
